@@ -76,7 +76,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": ALIVE + "select src_table, src_id, cast(ref_no as int) as ref_no from orphans",
-        "p3_report": ALIVE + "select src_table, strftime("at" at time zone 'UTC', '%Y-%m') as month, count(*) as orphans from orphans group by all",
+        "p3_report": ALIVE + "select src_table, strftime(orphans.at at time zone 'UTC', '%Y-%m') as month, count(*) as orphans from orphans group by all",
         "p4_found": f"with e as ({ENTRIES}), k as (select pkg_type, repo, sum(row_count) as n from e group by all) select pkg_type, repo from k where n * 25 >= (select sum(n) from k)",
         "p4_keys": f"""
 with e as ({ENTRIES}),

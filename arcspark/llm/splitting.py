@@ -61,7 +61,8 @@ def successors(level: np.ndarray, limit: int, overlap: int) -> np.ndarray:
     half = at + (reach - at + 1) // 2
     out = np.full(n + 1, -1)
     last = [np.maximum.accumulate(np.where(level <= v, at, -1))[reach] for v in (1, 2, 3, 4)]
-    for nearest in (half, at + 1):
+    # The first piece must reach past the overlap, or the next would begin where it began.
+    for nearest in (half, np.where(at == 0, min(overlap + 1, n), at + 1)):
         for found in last:
             out = np.where((out < 0) & (found >= nearest), found, out)
     out = np.where(out < 0, reach, out)

@@ -231,7 +231,7 @@ class History:
         if old_files is not None:
             by_cls = old_files.join(new.select("cls").union(edges.select(F.col("cls_b").alias("cls"))).where("cls is not null").distinct(), "cls", "left_semi")
             by_spot = old_files.join(new.select("spot").where("spot is not null").distinct(), "spot", "left_semi")
-            touched = materialize(by_cls.union(by_spot).distinct(), "touched")
+            touched = materialize(by_cls.unionByName(by_spot).distinct(), "touched")
         states = materialize(_settle(new, edges, touched), "states")
         found = _repeats(states, edges)
         if accept:

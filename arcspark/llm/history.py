@@ -42,7 +42,6 @@ DEPTH = 4
 RECALL = 0.99999
 #: Sets in one range, from which on it is searched by rarest members instead.
 HOT_RANGE = 200
-FILE = "file_id bigint, batch_no int, n bigint, size bigint, cls binary, spot binary, sig array<bigint>"
 
 
 def search_depth(similarity: float = SIMILARITY[0] / SIMILARITY[1], trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -53,7 +52,7 @@ def search_depth(similarity: float = SIMILARITY[0] / SIMILARITY[1], trees: int =
 
 
 def files(chunks: DataFrame) -> DataFrame:
-    """One row for each file: size, number of distinct checksums, class key, place key and signature.
+    """One row for each file: size, number of distinct checksums, class key and place key.
 
     Only mergeable aggregates are used (sums, minima, bitwise xor), so no file's chunks are gathered.
     """
@@ -65,11 +64,10 @@ def files(chunks: DataFrame) -> DataFrame:
         .groupBy("file_index", "batch_no", "chunk_seq", "nth").agg(F.max("token").alias("token"), F.max("size").alias("size"))
     )
     tokens = once.groupBy("file_index", "batch_no", "token").agg(F.sum("size").alias("size"))
-    hashes = [F.min(F.when(F.col("token").isNotNull(), F.xxhash64("token", F.lit(i)))).alias(f"m{i}") for i in range(TREES * DEPTH)]
     a, b = F.xxhash64("token", F.lit(-1)), F.xxhash64("token", F.lit(-2))
     known = F.col("token").isNotNull()
     sets = tokens.groupBy("file_index", "batch_no").agg(
-        F.count("token").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.when(known, a)).alias("x"), F.bit_xor(F.when(known, b)).alias("y"), *hashes
+        F.count("token").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.when(known, a)).alias("x"), F.bit_xor(F.when(known, b)).alias("y")
     )
     paths = own.groupBy(F.col("file_index").alias("f"), F.col("batch_no").cast("int").alias("b")).agg(F.min("relative_path").alias("path"))
     joined = sets.join(paths, (F.col("file_index") == F.col("f")) & (F.col("batch_no") == F.col("b")))
@@ -79,20 +77,21 @@ def files(chunks: DataFrame) -> DataFrame:
         F.col("file_index").cast("bigint").alias("file_id"), "batch_no", "n", "size",
         F.when(usable, digest(F.col("n"), F.col("x"), F.col("y"))).alias("cls"),
         F.when(F.col("place").isNotNull(), digest(F.col("size"), F.col("place"))).alias("spot"),
-        F.when(usable & (F.col("n") > 3), F.array(*(f"m{i}" for i in range(TREES * DEPTH)))).alias("sig"),
     )
 
 
 def members(chunks: DataFrame, keys: DataFrame) -> DataFrame:
-    """(cls, tokens) of the classes in keys (file_id, batch_no, cls): one file's own distinct checksums."""
+    """(cls, n, tokens, sig) of the classes in keys (file_id, batch_no, cls): one file's own distinct checksums and their minimum hashes."""
     own = chunks.where("checksum is not null").select(F.col("file_index").cast("bigint").alias("file_id"), F.col("batch_no").cast("int").alias("batch_no"), F.xxhash64("checksum").alias("token"))
-    return own.join(keys, ["file_id", "batch_no"]).groupBy("cls").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
+    sets = own.join(keys, ["file_id", "batch_no"]).groupBy("cls").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
+    least = lambda seed: F.array_min(F.transform("tokens", lambda t: F.xxhash64(t, seed)))
+    return sets.select("cls", F.size("tokens").cast("bigint").alias("n"), "tokens", F.array(*(least(F.lit(i)) for i in range(TREES * DEPTH))).alias("sig"))
 
 
-def forest(classes: DataFrame) -> DataFrame:
+def forest(sets: DataFrame) -> DataFrame:
     """(tree, prefix h0.., cls, n): one row for each class and tree."""
     step = [F.element_at("sig", F.col("tree") * DEPTH + i + 1).alias(f"h{i}") for i in range(DEPTH)]
-    return classes.select("cls", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("tree", *step, "cls", "n")
+    return sets.select("cls", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("tree", *step, "cls", "n")
 
 
 def _close_in_size(a: Column, b: Column) -> Column:
@@ -210,19 +209,16 @@ class History:
         new = materialize(files(chunks), "files")
         depth = search_depth()
         old_files, old_forest, old_sets = (self._read(n) for n in ("files", "forest", "sets"))
-        firsts = new.where("sig is not null").groupBy("cls").agg(F.min_by(F.struct("file_id", "batch_no"), F.struct("batch_no", "file_id")).alias("k"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+        firsts = new.where("cls is not null and n > 3").groupBy("cls").agg(F.min(F.struct("batch_no", "file_id")).alias("k"))
         if old_sets is not None:
             firsts = firsts.join(old_sets.select("cls"), "cls", "left_anti")
-        classes = materialize(firsts.select("cls", "n", "sig", "k.file_id", "k.batch_no"), "classes")
-        trees = forest(classes)
-        pairs, hot = _range_pairs(trees, old_forest, depth)
-        pairs = materialize(pairs, "pairs")
-        hot = materialize(hot, "hot")
-        wanted = pairs.select(F.col("cls_a").alias("cls")).union(pairs.select(F.col("cls_b").alias("cls"))).union(hot.select("cls")).distinct()
-        keep = classes if accept else classes.join(wanted, "cls", "left_semi")
-        own_sets = members(chunks, keep.select("file_id", "batch_no", "cls"))
-        sets = own_sets if old_sets is None else own_sets.unionByName(old_sets.join(wanted, "cls", "left_semi"))
-        sets = materialize(sets, "sets")
+        own_sets = materialize(members(chunks, firsts.select("k.file_id", "k.batch_no", "cls")), "sets")
+        pairs, hot = _range_pairs(forest(own_sets), old_forest, depth)
+        pairs, hot = materialize(pairs, "pairs"), materialize(hot, "hot")
+        sets = own_sets.select("cls", "tokens")
+        if old_sets is not None:
+            wanted = pairs.select(F.col("cls_a").alias("cls")).union(pairs.select(F.col("cls_b").alias("cls"))).union(hot.select("cls")).distinct()
+            sets = sets.unionByName(old_sets.select("cls", "tokens").join(wanted, "cls", "left_semi"))
         if not hot.isEmpty():
             pairs = pairs.union(_rare_pairs(sets.join(hot, "cls", "left_semi"))).distinct()
         one_way = verify(pairs, sets)
@@ -236,19 +232,19 @@ class History:
         found = _repeats(states, edges)
         if accept:
             found = materialize(found, "repeats")
-            self._add(new, states, classes, sets)
+            self._add(new, states, own_sets)
         return found
 
-    def _add(self, new: DataFrame, states: DataFrame, classes: DataFrame, sets: DataFrame) -> None:
+    def _add(self, new: DataFrame, states: DataFrame, sets: DataFrame) -> None:
         ids = states.where("state = 1").select("file_id", "batch_no")
         taken = new.join(ids, ["file_id", "batch_no"], "left_semi")
         run = max(self._live, default=-1) + 1
         put = lambda df, name: df.write.mode("overwrite").parquet(f"{self.path}/{name}/run={run}")
         put(taken.select("file_id", "batch_no", "n", "size", "cls", "spot"), "files")
-        fresh = classes.join(taken.select("cls").distinct(), "cls", "left_semi")
+        fresh = sets.join(taken.select("cls").distinct(), "cls", "left_semi")
         prefix = ["tree", *(f"h{i}" for i in range(DEPTH))]
         put(forest(fresh).repartitionByRange(*prefix).sortWithinPartitions(*prefix), "forest")
-        put(sets.join(fresh.select("cls"), "cls", "left_semi"), "sets")
+        put(fresh.select("cls", "tokens"), "sets")
         self._live = [*self._live, run]
 
     def merge(self) -> None:

@@ -30,8 +30,8 @@ def encode(entries: DataFrame, no_skip: bool = False, slice_size: int = ingest.S
 
 def _put(encoded: DataFrame, out: str, config: dict, extension: DataFrame | None = None) -> Archive:
     spark = encoded.sparkSession
-    # Chunks are compressed once, while they are written; the index is read back without the blobs.
-    encoded.repartitionByRange(*GROUP, "relative_path", "chunk_seq").sortWithinPartitions(*GROUP, "relative_path", "chunk_seq").write.mode("overwrite").parquet(f"{out}/blobs")
+    # Chunks are compressed once and written where they were read: no blob is shuffled or sorted.  The index is read back without them.
+    encoded.write.mode("overwrite").parquet(f"{out}/blobs")
     index = ingest.blob_layout(spark.read.parquet(f"{out}/blobs").drop("blob"))
     if extension is not None:
         index = ingest.attach(index, extension.drop("pkg_type"))

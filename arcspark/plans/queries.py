@@ -359,13 +359,13 @@ def q34_stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{out}/manifest")
 
 
-@query("""with s as (select l_returnflag || l_linestatus || l_linenumber as name, sum(case when l_shipdate >= timestamp '1995-06-01' then l_quantity::bigint else 0 end)::double as c1, sum(case when l_shipdate >= timestamp '1995-06-01' then l_partkey else 0 end)::double as d1,
-    sum(case when l_shipdate < timestamp '1995-06-01' then l_quantity::bigint else 0 end)::double as c0, sum(case when l_shipdate < timestamp '1995-06-01' then l_partkey else 0 end)::double as d0 from lineitem group by 1),
+@query("""with s as (select l_returnflag || l_linestatus || l_linenumber as name, sum(case when l_shipdate >= timestamp '1998-09-24' then l_quantity::bigint else 0 end)::double as c1, sum(case when l_shipdate >= timestamp '1998-09-24' then l_partkey else 0 end)::double as d1,
+    sum(case when l_shipdate < timestamp '1998-09-24' then l_quantity::bigint else 0 end)::double as c0, sum(case when l_shipdate < timestamp '1998-09-24' then l_partkey else 0 end)::double as d0 from lineitem group by 1),
   m as (select name, 'compress_mbs' as metric, c1 as current, c0 as baseline from s union all select name, 'decompress_mbs', d1, d0 from s)
   select name, metric, current, baseline, (1 - current / baseline) * 100 as drop_pct from m where current < baseline * 0.8""")
 def q35_regressions(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "lineitem").withColumn("name", F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")))
-    late = F.col("l_shipdate") >= F.lit("1995-06-01").cast("timestamp")
+    late = F.col("l_shipdate") >= F.lit("1998-09-24").cast("timestamp")
     side = lambda when: own.groupBy("name").agg(F.sum(F.when(when, F.col("l_quantity").cast("bigint")).otherwise(0)).cast("double").alias("compress_mbs"), F.sum(F.when(when, F.col("l_partkey")).otherwise(0)).cast("double").alias("decompress_mbs"))
     return resolve.regressions(side(late), side(~late))
 

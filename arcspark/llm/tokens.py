@@ -7,6 +7,8 @@ import os
 import re
 from functools import lru_cache
 
+import numpy as np
+
 #: A run of letters, digits and underscores of any script, or one other character that isn't white space.
 WORD_RULE = re.compile(r"\w+|[^\w\s]")
 #: Fixed value: how the byte-level vocabularies split text before merging.
@@ -76,7 +78,13 @@ class Pieces:
         return len(self.own.encode(_clean(text), num_threads=1))
 
     def starts(self, text: str) -> list[int]:
-        return [p.begin for p in self.own.encode(_clean(text), out_type="immutable_proto").pieces]
+        text = _clean(text)
+        begins = [p.begin for p in self.own.encode(text, return_type="proto").pieces]
+        if text.isascii():
+            return begins
+        # Offsets are in bytes; a token inside a character begins where the character does.
+        ends = np.cumsum([len(c.encode()) for c in text])
+        return np.searchsorted(ends, begins, side="right").tolist()
 
 
 @lru_cache(maxsize=4)

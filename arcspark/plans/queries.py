@@ -336,7 +336,7 @@ def q32_tumbling(spark: SparkSession, d: str) -> DataFrame:
     return windows.tumbling(table(spark, d, "events"), by=("event_type",))
 
 
-@query("""with g as (select user_id, ts, case when ts >= lag(ts) over (partition by user_id order by ts) + interval 30 minute or lag(ts) over (partition by user_id order by ts) is null then 1 else 0 end as new from events),
+@query("""with g as (select user_id, ts, case when ts > lag(ts) over (partition by user_id order by ts) + interval 30 minute or lag(ts) over (partition by user_id order by ts) is null then 1 else 0 end as new from events),
   s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as n from g)
   select user_id, min(ts) as session_start, max(ts) + interval 30 minute as session_end, count(*) as events from s group by user_id, n""")
 def q33_sessions(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ranges
+
 ENTRY = "relative_path string, content binary, pkg_type tinyint, repo string"
 
 
@@ -21,10 +23,16 @@ def _relative(spark: SparkSession, path: str) -> Column:
     return F.substr(own, F.lit(len(root.replace("file:///", "file:/").replace("file://", "file:")) + 1))
 
 
+def _empty(spark: SparkSession, path: str) -> DataFrame:
+    """Paths of empty files, which Spark's own file source passes over."""
+    ranges.register(spark)
+    return spark.read.format("byte_ranges").option("only", "empty").load(path).select("relative_path")
+
+
 def listing(spark: SparkSession, path: str) -> DataFrame:
-    """(path, relative_path, file_size, modified) of all regular files below a folder; contents aren't read."""
+    """(relative_path, file_size) of all regular files below a folder; contents aren't read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return raw.select("path", _relative(spark, path).alias("relative_path"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"))
+    return raw.select(_relative(spark, path).alias("relative_path"), F.col("length").alias("file_size")).unionByName(_empty(spark, path).withColumn("file_size", F.lit(0).cast("bigint")))
 
 
 def from_dir(spark: SparkSession, path: str, pkg_type: int | None = None, repo: str | None = None, max_size: int | None = None) -> DataFrame:
@@ -32,7 +40,8 @@ def from_dir(spark: SparkSession, path: str, pkg_type: int | None = None, repo:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     if max_size is not None:
         raw = raw.where(F.col("length") <= max_size)
-    return raw.select(_relative(spark, path).alias("relative_path"), "content", F.lit(pkg_type).cast("tinyint").alias("pkg_type"), F.lit(repo).cast("string").alias("repo"))
+    files = raw.select(_relative(spark, path).alias("relative_path"), "content").unionByName(_empty(spark, path).withColumn("content", F.lit(b"")))
+    return files.select("relative_path", "content", F.lit(pkg_type).cast("tinyint").alias("pkg_type"), F.lit(repo).cast("string").alias("repo"))
 
 
 def entry(spark: SparkSession, path: str, content: bytes, pkg_type: int | None = None, repo: str | None = None) -> DataFrame:

@@ -34,10 +34,13 @@ class RangeReader(DataSourceReader):
         self.size = int(options.get("rangesize", 8 << 20))
         self.task_size = int(options.get("tasksize", 128 << 20))
         self.task_files = int(options.get("taskfiles", 2000))
+        self.only_empty = options.get("only", "all") == "empty"
 
     def partitions(self) -> list[Ranges]:
         out, now, total = [], [], 0
         for path, n in files_below(self.root):
+            if n and self.only_empty:
+                continue
             for at in range(0, max(n, 1), self.size):
                 part = min(self.size, n - at)
                 if now and (total + part > self.task_size or len(now) >= self.task_files):

@@ -12,7 +12,7 @@ FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def files(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
-    """A stream of entries: files as they appear below a folder."""
+    """A stream of entries: files as they appear below a folder.  Spark's file stream passes over empty files."""
     raw = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true")
     if per_trigger:
         raw = raw.option("maxFilesPerTrigger", per_trigger)

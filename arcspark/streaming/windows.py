@@ -14,7 +14,7 @@ def tumbling(events: DataFrame, size: str = "1 hour", time: str = "ts", by: tupl
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", time: str = "ts", by: str = "user_id", late: str | None = None) -> DataFrame:
-    """(by, session_start, session_end, events): runs of events less than gap apart."""
+    """(by, session_start, session_end, events): runs of events at most gap apart."""
     own = events.withWatermark(time, late) if late else events
     return own.groupBy(F.session_window(time, gap), by).agg(F.count("*").alias("events")).select(by, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "events")
 

@@ -224,6 +224,11 @@ def records(lines: DataFrame) -> DataFrame:
     )
 
 
+def alternatives(long: DataFrame) -> DataFrame:
+    """(field, tag, series, first_file, values): each type a canonical field has in a series, and the file in which it appears."""
+    return long.groupBy("field", "tag", "series").agg(F.min("file_seq").alias("first_file"), F.count("*").alias("values"))
+
+
 def wide(long: DataFrame, fields: dict[str, str]) -> DataFrame:
     """The long table as one row for each record and list entry, with one column for each canonical field.
 

@@ -23,6 +23,10 @@ from ..session import forget, materialize
 
 KEY = ["pkg_type", "repo"]
 BINS = 256
+#: Open ranges of up to so many keys are broadcast.
+MAX_KEYS = 50_000
+#: Beyond that, keys with 1/HEAVY_PART of all values or more are: there are at most HEAVY_PART of them.
+HEAVY_PART = 1000
 QUANTILES = (0.5, 0.9, 0.99)
 
 
@@ -45,6 +49,16 @@ def totals(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.count(value).alias("n"), F.sum(value).alias("total"), F.min(value).alias("lo"), F.max(value).alias("hi"))
 
 
+def _meet(values: DataFrame, spans: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
+    """values with their key's open ranges, without shuffling the values of a heavy key."""
+    if spans.count() <= MAX_KEYS:
+        return values.join(F.broadcast(spans), keys)
+    whole = base.agg(F.sum("n")).first()[0]
+    heavy = materialize(base.where(F.col("n") * HEAVY_PART >= whole).select(*keys), "heavy")
+    big, rest = F.broadcast(spans.join(F.broadcast(heavy), keys, "left_semi")), spans.join(F.broadcast(heavy), keys, "left_anti")
+    return values.join(big, keys).unionByName(values.join(F.broadcast(heavy), keys, "left_anti").join(rest, keys))
+
+
 def select_ranks(df: DataFrame, keys: list[str], value: str, base: DataFrame, quantiles: tuple[float, ...] = QUANTILES, bins: int = BINS) -> DataFrame:
     """(keys..., q, result): exact quantiles of integer values by refining histograms.
 
@@ -60,7 +74,7 @@ def select_ranks(df: DataFrame, keys: list[str], value: str, base: DataFrame, qu
         # Ranks of a key that share a range are counted together.
         ranges = todo.select(*keys, "lo", "hi").distinct().withColumn("width", F.ceil((F.col("hi").cast(dec) - F.col("lo").cast(dec) + 1) / F.lit(bins)).cast(dec))
         spans = ranges.groupBy(*keys).agg(F.collect_list(F.struct("lo", "hi", "width")).alias("spans"))  # at most one for each quantile
-        placed = values.join(spans, keys).select(*keys, "value", F.explode("spans").alias("s")).where("value between s.lo and s.hi")
+        placed = _meet(values, spans, base, keys).select(*keys, "value", F.explode("spans").alias("s")).where("value between s.lo and s.hi")
         bin_ = F.floor((F.col("value").cast(dec) - F.col("s.lo").cast(dec)) / F.col("s.width")).cast("int")
         counted = placed.groupBy(*keys, F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"), F.col("s.width").alias("width"), bin_.alias("bin")).agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
         hist = counted.groupBy(*keys, "lo", "hi").agg(F.array_sort(F.collect_list(F.struct("bin", "n", "least", "most"))).alias("hist"))  # at most BINS entries

@@ -20,6 +20,10 @@ def p1_records(spark: SparkSession, d: str) -> DataFrame:
     return drift.records(table(spark, d, "history_line"))
 
 
+def p1_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    return drift.alternatives(drift.records(table(spark, d, "history_line")))
+
+
 def p1_runs(spark: SparkSession, d: str) -> DataFrame:
     long = drift.records(table(spark, d, "history_line"))
     return drift.wide(long, {"version": "version", "cores": "cores", "name": "results.name", "files": "results.files", "module_name": "module_name", "row_count": "row_count"})
@@ -70,7 +74,7 @@ ENTRIES = "select batch_no, coalesce(pkg_type, 0)::int as pkg_type, coalesce(rep
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_records, p1_runs, p3_found, p3_report, p4_found, p4_keys)}
+    return {f.__name__: f for f in (p1_found, p1_records, p1_alternatives, p1_runs, p3_found, p3_report, p4_found, p4_keys)}
 
 
 def oracle_sql() -> dict[str, str]:

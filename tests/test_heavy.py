@@ -1,12 +1,17 @@
 import math
 import random
 
+import pytest
+
 from arcspark.operators import heavy as H
 
 MAN = "entry_id bigint, batch_no int, pkg_type tinyint, repo string, module_name string, part_no int, index_len bigint, row_count bigint, lo int, n string"
 
 
-def test_exact_quantiles(spark):
+@pytest.mark.parametrize("max_keys", [50_000, 0])
+def test_exact_quantiles(spark, monkeypatch, max_keys):
+    monkeypatch.setattr(H, "MAX_KEYS", max_keys)
+    monkeypatch.setattr(H, "HEAVY_PART", 2)
     rnd = random.Random(3)
     rows = [("hot", rnd.randint(-(10**6), 10**6)) for _ in range(3000)] + [("same", 7)] * 50 + [("wide", v) for v in (-(2**63), 2**63 - 1, 0, 5, None)] + [("null", None)] * 3 + [("one", 3), (None, 4)]
     df = spark.createDataFrame(rows, "k string, v bigint").repartition(3)

@@ -140,6 +140,11 @@ def verify(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     return pairs.join(a, "cls_a").join(b, "cls_b").where(common * den >= (F.size("ta") + F.size("tb") - common) * num).select("cls_a", "cls_b")
 
 
+def _own(key: str) -> Column:
+    """The key, or one of the file's own where it is null: rows without a key spread over all tasks and meet nothing."""
+    return F.coalesce(F.col(key), F.concat(F.lit("-"), F.col("file_id").cast("string")).cast("binary"))
+
+
 def _settle(new: DataFrame, edges: DataFrame, accepted: DataFrame | None) -> DataFrame:
     """State of each new file: 1 accepted, 2 repeating, by rounds over the states of its keys."""
     order = F.struct("batch_no", "file_id")
@@ -149,7 +154,8 @@ def _settle(new: DataFrame, edges: DataFrame, accepted: DataFrame | None) -> Dat
     shared_cls = base.where("cls is not null").groupBy("cls").agg(F.count("*").alias("k")).where("k > 1").select("cls")
     linked = shared_cls.union(edges.select("cls_a").distinct()).distinct().withColumn("c_on", F.lit(True))
     shared_spot = base.where("spot is not null").groupBy("spot").agg(F.count("*").alias("k")).where("k > 1").select("spot", F.lit(True).alias("s_on"))
-    marked = base.join(linked, "cls", "left").join(shared_spot, "spot", "left")
+    keyed = base.withColumn("ck", _own("cls")).withColumn("sk", _own("spot"))
+    marked = keyed.join(linked.withColumnRenamed("cls", "ck"), "ck", "left").join(shared_spot.withColumnRenamed("spot", "sk"), "sk", "left")
     # A file that shares no key and has no similar set is accepted at once and takes no part in the rounds.
     state = materialize(
         marked.select("file_id", "batch_no", F.when(F.col("c_on"), F.col("cls")).alias("cls"), F.when(F.col("s_on"), F.col("spot")).alias("spot"), F.when((F.col("state") == 0) & F.col("c_on").isNull() & F.col("s_on").isNull(), 1).otherwise(F.col("state")).alias("state")),
@@ -164,7 +170,8 @@ def _settle(new: DataFrame, edges: DataFrame, accepted: DataFrame | None) -> Dat
         s = busy.where("spot is not null").groupBy("spot").agg(*agg).withColumnsRenamed({"acc": "s_acc", "und": "s_und"})
         near = edges.join(c, edges.cls_b == c.cls).groupBy("cls_a").agg(F.min("acc").alias("n_acc"), F.min("und").alias("n_und")).withColumnRenamed("cls_a", "cls")
         own = c.withColumnsRenamed({"acc": "c_acc", "und": "c_und"}).join(near, "cls", "left")
-        seen = busy.join(own, "cls", "left").join(s, "spot", "left")
+        keyed = busy.withColumn("ck", _own("cls")).withColumn("sk", _own("spot"))
+        seen = keyed.join(own.withColumnRenamed("cls", "ck"), "ck", "left").join(s.withColumnRenamed("spot", "sk"), "sk", "left")
         acc = F.least("c_acc", "n_acc", "s_acc")
         und = F.least("c_und", "n_und", "s_und")
         undecided = F.col("state") == 0

@@ -146,8 +146,17 @@ def _preceding(files: DataFrame) -> DataFrame:
 
 def changes(lines: DataFrame) -> DataFrame:
     """(series, file_seq, change, old_field, new_field): every change against the preceding file."""
-    values = materialize(leaves(lines).groupBy(*FILE, "field", "tag", "value_text").agg(F.count("*").alias("n")), "drift-values")
-    fused = materialize(fuse(values), "drift-schema")
+    values = materialize(distinct_values(leaves(lines)), "drift-values")
+    return changes_of(values, materialize(fuse(values), "drift-schema"))
+
+
+def distinct_values(parsed: DataFrame) -> DataFrame:
+    """(series, file_seq, field, tag, value_text, n): each distinct value of a field of a file once."""
+    return parsed.groupBy(*FILE, "field", "tag", "value_text").agg(F.count("*").alias("n"))
+
+
+def changes_of(values: DataFrame, fused: DataFrame) -> DataFrame:
+    """changes, from a file's distinct values and its fused schema."""
     steps = _preceding(fused.select(*FILE).distinct())
     old = fused.select("series", F.col("file_seq").alias("prev_seq"), F.col("field"), F.col("type").alias("old_type"), F.lit(True).alias("was")).join(steps, ["series", "prev_seq"])
     new = fused.join(steps, FILE).select(*FILE, "prev_seq", "field", F.col("type").alias("new_type"), F.lit(True).alias("is"))
@@ -205,9 +214,9 @@ def records(lines: DataFrame) -> DataFrame:
     converted to it as text, null where it can't be converted.
     """
     parsed = materialize(leaves(lines), "drift-leaves")
-    values = parsed.groupBy(*FILE, "field", "tag", "value_text").agg(F.count("*").alias("n"))
-    fused = fuse(values)
-    names = canonical_names(changes(lines), fused)
+    values = materialize(distinct_values(parsed), "drift-values")
+    fused = materialize(fuse(values), "drift-schema")
+    names = canonical_names(changes_of(values, fused), fused)
     named = parsed.join(F.broadcast(names) if names.count() <= 10_000 else names, "field")
     totals = named.groupBy("canonical", "tag").agg(F.count("*").alias("n")).where("tag <> 'null'")
     order = F.struct(F.col("n"), F.col("tag"))

@@ -33,6 +33,4 @@ def entries(index: DataFrame) -> DataFrame:
 
 def reassemble(decoded: DataFrame) -> DataFrame:
     """(relative_path, content): chunks of a file concatenated in order of offset."""
-    data = F.struct(F.col("fdata_offset"), F.col("chunk_seq"), F.col("data"))
-    joined = F.aggregate(F.array_sort(F.collect_list(data)), F.lit(b""), lambda a, c: F.concat(a, c["data"]))
-    return decoded.groupBy("relative_path").agg(joined.alias("content"))
+    return decoded.groupBy("relative_path").agg(F.expr("listagg(data) within group (order by fdata_offset, chunk_seq)").alias("content"))

@@ -115,8 +115,7 @@ def records(path: str, begin: int, end: int, delimiter: bytes = b"\n", chunk: in
 
 def bytes_of(df: DataFrame) -> DataFrame:
     """Segments of one path joined again in order, for sinks that take bytes."""
-    piece = F.struct("at", "n", "data")
-    return df.groupBy("path").agg(F.aggregate(F.array_sort(F.collect_list(piece)), F.lit(b""), lambda a, x: F.concat(a, x["data"])).alias("content"))
+    return df.groupBy("path").agg(F.expr("listagg(data) within group (order by at, n)").alias("content"))
 
 
 SEGMENT = StructType([StructField("data", BinaryType())])

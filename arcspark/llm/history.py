@@ -42,6 +42,8 @@ DEPTH = 4
 RECALL = 0.99999
 #: Sets in one range, from which on it is searched by rarest members instead.
 HOT_RANGE = 200
+#: A batch's prefixes and keys are broadcast to the history up to so many rows (of some 60 bytes each).
+MAX_LOOKUP = 500_000
 
 
 def search_depth(similarity: float = SIMILARITY[0] / SIMILARITY[1], trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -99,12 +101,20 @@ def _close_in_size(a: Column, b: Column) -> Column:
     return (a * den >= b * num) & (b * den >= a * num)
 
 
+def _lookup(keys: DataFrame, name: str) -> DataFrame:
+    """Keys of a batch, to search the history by: broadcast while they are few, so that the history stays where it is."""
+    keys = materialize(keys, name)
+    return F.broadcast(keys) if keys.count() <= MAX_LOOKUP else keys
+
+
 def _range_pairs(new: DataFrame, old: DataFrame | None, depth: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of classes in one range, and the classes of ranges too hot for pairs."""
     prefix = ["tree", *(f"h{i}" for i in range(depth))]
     rows = new.select(*prefix, "cls", "n", F.lit(True).alias("is_new"))
     if old is not None:
-        rows = rows.unionByName(old.select(*prefix, "cls", "n", F.lit(False).alias("is_new")))
+        # Only the subtrees that the batch asks for leave the history's runs.
+        asked = old.join(_lookup(new.select(*prefix).distinct(), "prefixes"), prefix, "left_semi")
+        rows = rows.unionByName(asked.select(*prefix, "cls", "n", F.lit(False).alias("is_new")))
     range_ = F.xxhash64(*prefix).alias("range")
     keyed = rows.select(range_, "cls", "n", "is_new")
     sizes = keyed.groupBy("range").agg(F.count("*").alias("sets"), F.max("is_new").alias("any_new")).where("sets > 1 and any_new")
@@ -198,6 +208,8 @@ def _repeats(states: DataFrame, edges: DataFrame) -> DataFrame:
 class History:
     """Everything accepted so far, in a folder: accepted files, their sets and the sorted runs of the forest.
 
+    A history opened on a folder that has runs goes on from them.
+
     check(batch) compares a batch with it and within itself; accept=True adds what is new as one more run.
     A batch may be one ingest or a whole table.  Only ranges, sets and keys that the batch touches are read
     into joins; the chunks of the history are never read again.
@@ -205,7 +217,22 @@ class History:
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or shared_path(spark, "history")
-        self._live: list[int] = []
+        self._live = self._recorded()
+
+    def _recorded(self) -> list[int]:
+        """The runs that the newest complete record in the folder names; a run that was cut off is in none."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/runs")
+        fs = root.getFileSystem(conf)
+        done = [s.getPath() for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))] if fs.exists(root) else []
+        if not done:
+            return []
+        newest = max(done, key=lambda p: int(p.getName()))
+        return sorted(r["run"] for r in self.spark.read.schema("run int").parquet(newest.toString()).collect())
+
+    def _record(self, runs: list[int]) -> None:
+        self.spark.createDataFrame([(r,) for r in runs], "run int").coalesce(1).write.parquet(f"{self.path}/runs/{max(runs)}")
+        self._live = runs
 
     def _read(self, name: str) -> DataFrame | None:
         if not self._live:
@@ -218,22 +245,25 @@ class History:
         old_files, old_forest, old_sets = (self._read(n) for n in ("files", "forest", "sets"))
         firsts = new.where("cls is not null and n > 3").groupBy("cls").agg(F.min(F.struct("batch_no", "file_id")).alias("k"))
         if old_sets is not None:
-            firsts = firsts.join(old_sets.select("cls"), "cls", "left_anti")
+            firsts = materialize(firsts, "firsts")
+            known = materialize(old_sets.select("cls").join(_lookup(firsts.select("cls"), "classes"), "cls", "left_semi"), "known")
+            firsts = firsts.join(known, "cls", "left_anti")
         own_sets = materialize(members(chunks, firsts.select("k.file_id", "k.batch_no", "cls")), "sets")
         pairs, hot = _range_pairs(forest(own_sets), old_forest, depth)
         pairs, hot = materialize(pairs, "pairs"), materialize(hot, "hot")
         sets = own_sets.select("cls", "tokens")
         if old_sets is not None:
             wanted = pairs.select(F.col("cls_a").alias("cls")).union(pairs.select(F.col("cls_b").alias("cls"))).union(hot.select("cls")).distinct()
-            sets = sets.unionByName(old_sets.select("cls", "tokens").join(wanted, "cls", "left_semi"))
+            sets = sets.unionByName(old_sets.select("cls", "tokens").join(_lookup(wanted, "wanted"), "cls", "left_semi"))
         if not hot.isEmpty():
             pairs = pairs.union(_rare_pairs(sets.join(hot, "cls", "left_semi"))).distinct()
         one_way = verify(pairs, sets)
         edges = materialize(one_way.union(one_way.select("cls_b", "cls_a")), "edges")
         touched = None
         if old_files is not None:
-            by_cls = old_files.join(new.select("cls").union(edges.select(F.col("cls_b").alias("cls"))).where("cls is not null").distinct(), "cls", "left_semi")
-            by_spot = old_files.join(new.select("spot").where("spot is not null").distinct(), "spot", "left_semi")
+            classes = new.select("cls").union(edges.select(F.col("cls_b").alias("cls"))).where("cls is not null").distinct()
+            by_cls = old_files.join(_lookup(classes, "classes"), "cls", "left_semi")
+            by_spot = old_files.join(_lookup(new.select("spot").where("spot is not null").distinct(), "spots"), "spot", "left_semi")
             touched = materialize(by_cls.unionByName(by_spot).distinct(), "touched")
         states = materialize(_settle(new, edges, touched), "states")
         found = _repeats(states, edges)
@@ -252,7 +282,7 @@ class History:
         prefix = ["tree", *(f"h{i}" for i in range(DEPTH))]
         put(forest(fresh).repartitionByRange(*prefix).sortWithinPartitions(*prefix), "forest")
         put(fresh.select("cls", "tokens"), "sets")
-        self._live = [*self._live, run]
+        self._record([*self._live, run])
 
     def merge(self) -> None:
         """Rewrite all runs as one, sorted as a whole."""
@@ -263,7 +293,7 @@ class History:
         for name in ("files", "forest", "sets"):
             df = self._read(name)
             (df.repartitionByRange(*prefix).sortWithinPartitions(*prefix) if name == "forest" else df).write.mode("overwrite").parquet(f"{self.path}/{name}/run={run}")
-        self._live = [run]
+        self._record([run])
 
 
 def repeats(chunks: DataFrame) -> DataFrame:

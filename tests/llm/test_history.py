@@ -70,13 +70,17 @@ def test_against_brute_force(spark, monkeypatch, hot_range):
         assert len(got) == len(set(got)) and set(got) == brute(rows) != set()
 
 
-def test_batches_against_history(spark):
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_batches_against_history(spark, monkeypatch, most):
+    monkeypatch.setattr(H, "MAX_LOOKUP", most)
     rows = case(4)
     want, h, got = brute(rows), H.History(spark), set()
     for lo, hi in ((1, 4), (5, 5), (6, 6), (7, 12)):
         got |= {tuple(r) for r in h.check(frame(spark, [r for r in rows if r[0] is not None and lo <= r[0] <= hi]), accept=True).collect()}
         if hi == 5:
             h.merge()
+        if hi == 6:
+            h = H.History(spark, h.path)
     assert got == want
     assert h.check(frame(spark, rows).where("false")).collect() == []
 

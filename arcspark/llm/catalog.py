@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import history, leakage, packing, splitting
+from . import history, leakage, packing, splitting, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,7 +37,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.pieces(table(spark, d, "documents"))
+    return splitting.pieces(table(spark, d, "documents"), tokenizer=tokens.NAME)
 
 
 def queries() -> dict[str, Query]:

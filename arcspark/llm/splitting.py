@@ -11,8 +11,8 @@ sentence there; else the last weaker boundary there (line, clause, white space);
 within the nearer half; else the last token boundary.
 
 Defined results: pieces cover the text without a gap and, but for the overlap, once; none has more
-than limit tokens; consecutive pieces share exactly overlap tokens; a text of up to limit tokens, white space
-only included, is one piece; null and empty texts give none; rows with equal or null doc_id are cut each on its own.
+than limit tokens (but a single character that has more); consecutive pieces share exactly overlap tokens, or up to 3 more where a piece would begin
+inside a character; a text of up to limit tokens, white space only included, is one piece; null and empty texts give none; rows with equal or null doc_id are cut each on its own.
 Tokens are those of the word rule ('words') or of a public tokenizer.
 """
 
@@ -38,31 +38,46 @@ SPACE = re.compile(r"\s+")
 SCHEMA = "doc_id bigint, piece int, start_char bigint, end_char bigint, tokens int, text string"
 
 
-def boundaries(text: str, starts: np.ndarray) -> np.ndarray:
-    """Level of the boundary before each token (and at the end): 1 paragraph, 2 sentence, 3 line or clause, 4 white space, 5 other."""
+def boundaries(text: str, starts: np.ndarray, whole: np.ndarray | None = None) -> np.ndarray:
+    """Level of the boundary before each token (and at the end): 1 paragraph, 2 sentence, 3 line or clause, 4 white space, 5 other.
+
+    A token may begin with the white space before a word, so a boundary is the last token that begins in its white space or after it.
+    """
     level = np.full(len(starts) + 1, 5, np.int8)
+    index = np.arange(len(starts)) if whole is None else np.flatnonzero(whole)
+    own = starts[index]
     for value, rule in ((4, SPACE), (3, WEAKER), (2, SENTENCE), (1, PARAGRAPH)):
-        ends = np.fromiter((m.end() for m in rule.finditer(text)), np.int64)
-        if len(ends):
-            at = np.searchsorted(starts, ends)
-            ok = at < len(starts)
-            at, ends = at[ok], ends[ok]
-            level[at[starts[at] == ends]] = value
+        spans = np.array([(m.start() + len(m[0].rstrip()), m.end()) for m in rule.finditer(text)], np.int64).reshape(-1, 2)
+        if len(spans) and len(own):
+            at = np.searchsorted(own, spans[:, 1], side="right") - 1
+            level[index[at[(at >= 0) & (own[at] >= spans[:, 0])]]] = value
     level[0] = level[-1] = 1
     return level
 
 
-def successors(level: np.ndarray, limit: int, overlap: int) -> np.ndarray:
-    """For each boundary the farthest legal one after it; the last boundary leads to itself."""
+def begins(n: int, overlap: int, whole: np.ndarray | None = None) -> np.ndarray:
+    """For a cut at each boundary the token its next piece begins with: overlap tokens before, or up to 3 more not to begin inside a character."""
+    at = np.maximum(np.arange(n + 1) - overlap, 0)
+    return at if whole is None else np.maximum.accumulate(np.where(np.append(whole, True), np.arange(n + 1), 0))[at]
+
+
+def successors(level: np.ndarray, limit: int, overlap: int, whole: np.ndarray | None = None) -> np.ndarray:
+    """For each boundary the farthest legal one after it; the last boundary leads to itself.  whole: tokens that don't begin inside a character."""
     n = len(level) - 1
     at = np.arange(n + 1)
+    ok = np.ones(n + 1, bool) if whole is None else np.append(whole, True)
     # A piece after a cut at c begins at c - overlap; one after the start begins at 0.
-    reach = np.minimum(np.where(at == 0, limit, at - np.minimum(at, overlap) + limit), n)
+    begin = begins(n, overlap, whole)
+    reach = np.maximum.accumulate(np.where(ok, at, 0))[np.minimum(begin + limit, n)]
+    # Where the limit leaves no room for one more character, that one is taken.
+    after = np.minimum.accumulate(np.where(ok, at, n)[::-1])[::-1]
+    reach = np.where(reach > at, reach, after[np.minimum(at + 1, n)])
     half = at + (reach - at + 1) // 2
     out = np.full(n + 1, -1)
-    last = [np.maximum.accumulate(np.where(level <= v, at, -1))[reach] for v in (1, 2, 3, 4)]
-    # The first piece must reach past the overlap, or the next would begin where it began.
-    for nearest in (half, np.where(at == 0, min(overlap + 1, n), at + 1)):
+    last = [np.maximum.accumulate(np.where(ok & (level <= v), at, -1))[reach] for v in (1, 2, 3, 4)]
+    # A piece must reach so far that the next doesn't begin where it began; the first past the overlap.
+    least = np.minimum(np.searchsorted(begin, begin, side="right"), n)
+    for nearest in (np.maximum(half, least), least):
         for found in last:
             out = np.where((out < 0) & (found >= nearest), found, out)
     out = np.where(out < 0, reach, out)
@@ -90,7 +105,7 @@ def cut_batch(texts: list[str | None], limit: int = LIMIT, overlap: int = OVERLA
         raise ValueError("overlap must be under the limit")
     own = T.load(tokenizer, folder)
     out: list[tuple[int, int, int, int, int]] = []
-    rows, starts, steps, base, total = [], [], [], [], 0
+    rows, starts, first, steps, base, total = [], [], [], [], [], 0
     for row, text in enumerate(texts):
         if not text:
             continue
@@ -98,13 +113,14 @@ def cut_batch(texts: list[str | None], limit: int = LIMIT, overlap: int = OVERLA
         if len(text) <= 4 * limit and (n := own.count(text)) <= limit:
             out.append((row, 0, 0, len(text), n))
             continue
-        s = np.asarray(own.starts(text), np.int64)
+        s, whole = own.located(text)
         if len(s) <= limit:
             out.append((row, 0, 0, len(text), len(s)))
             continue
         rows.append(row)
         starts.append(s)
-        steps.append(successors(boundaries(text, s), limit, overlap) + total)
+        first.append(begins(len(s), overlap, whole))
+        steps.append(successors(boundaries(text, s, whole), limit, overlap, whole) + total)
         base.append(total)
         total += len(s) + 1
     if rows:
@@ -114,7 +130,7 @@ def cut_batch(texts: list[str | None], limit: int = LIMIT, overlap: int = OVERLA
             at = found[of == k] - base[k]
             s, text = starts[k], texts[row]
             for piece, (a, b) in enumerate(zip(at, at[1:])):
-                begin = max(0, a - overlap) if a else 0
+                begin = first[k][a]
                 out.append((row, piece, int(s[begin]) if begin else 0, int(s[b]) if b < len(s) else len(text), int(b - begin)))
     return sorted(out)
 

@@ -31,6 +31,11 @@ class WordRule:
     def starts(self, text: str) -> list[int]:
         return [m.start() for m in WORD_RULE.finditer(text)]
 
+    def located(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Where each token begins, and whether it begins with a character rather than inside one; the other tokenizers' too."""
+        starts = np.array(self.starts(text), np.int64)
+        return starts, np.ones(len(starts), bool)
+
 
 class Ranked:
     """A byte-level vocabulary in a .tiktoken file."""
@@ -41,6 +46,10 @@ class Ranked:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.own = tiktoken.Encoding(os.path.basename(path), pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        # By token: the characters that begin in it, and whether its first byte continues one.
+        self.chars, self.inside = np.zeros(max(ranks.values()) + 1, np.int64), np.zeros(max(ranks.values()) + 1, bool)
+        for b, i in ranks.items():
+            self.chars[i], self.inside[i] = sum(x & 0xC0 != 0x80 for x in b), b[0] & 0xC0 == 0x80
 
     def count(self, text: str) -> int:
         return len(self.own.encode_ordinary(_clean(text)))
@@ -49,6 +58,10 @@ class Ranked:
         text = _clean(text)
         return self.own.decode_with_offsets(self.own.encode_ordinary(text))[1]
 
+    def located(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.own.encode_ordinary(_clean(text)), np.int64)
+        return np.cumsum(self.chars[ids]) - self.chars[ids] - self.inside[ids], ~self.inside[ids]
+
 
 class Json:
     """A vocabulary in a tokenizer .json file."""
@@ -65,6 +78,10 @@ class Json:
     def starts(self, text: str) -> list[int]:
         return [a for a, _ in self.own.encode(_clean(text), add_special_tokens=False).offsets]
 
+    def located(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        at = np.array(self.own.encode(_clean(text), add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
+        return at[:, 0], at[:, 0] >= np.maximum.accumulate(np.append(0, at[:-1, 1]))[: len(at)]
+
 
 class Pieces:
     """A sentence-piece .model file."""
@@ -86,6 +103,10 @@ class Pieces:
         ends = np.cumsum([len(c.encode()) for c in text])
         return np.searchsorted(ends, begins, side="right").tolist()
 
+    def located(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        starts = np.array(self.starts(text), np.int64)
+        return starts, starts > np.maximum.accumulate(np.append(-1, starts[:-1]))[: len(starts)]
+
 
 @lru_cache(maxsize=4)
 def load(name: str = NAME, folder: str = FOLDER) -> WordRule | Ranked | Json | Pieces:

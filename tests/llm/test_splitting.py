@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from arcspark.llm import catalog
 from arcspark.llm import splitting as S
 from arcspark.llm import tokens as T
 
@@ -82,3 +83,32 @@ def test_public_tokenizer(name):
     text = "The court held that. " * 300 + "\n\n" + "Es wurde entschieden; " * 200
     found = S.cut_batch([text], 128, 16, name)
     check(text, found, 128, 16, T.load(name))
+
+
+@pytest.mark.skipif(not os.path.isdir(T.FOLDER), reason="no tokenizers")
+def test_registered_pieces_are_under_the_limit_in_public_tokens(spark, tmp_path):
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choice("abcdefgh") for _ in range(40_000)), "漢字かな" * 3000, "ab-" * 1500, "The court held it. " * 700]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    own = T.load(T.NAME)
+    rows = sorted(catalog.p7_pieces(spark, str(tmp_path)).collect(), key=lambda r: (r.doc_id, r.piece))
+    for i, text in enumerate(texts):
+        of = [r for r in rows if r.doc_id == i]
+        assert len(of) > 1 and of[0].start_char == 0 and of[-1].end_char == len(text)
+        assert all(own.count(r.text) <= 2048 and r.text == text[r.start_char : r.end_char] for r in of)
+        assert all(128 <= own.count(text[b.start_char : a.end_char]) <= 131 for a, b in zip(of, of[1:]))
+    assert all(r.text.rstrip().endswith(".") for r in rows if r.doc_id == 3)
+
+
+@pytest.mark.skipif(not os.path.isdir(T.FOLDER), reason="no tokenizers")
+@pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_50k.json"])
+def test_public_tokens_inside_characters(name):
+    rnd, own = random.Random(5), T.load(name)
+    for _ in range(200):
+        text = "".join(rnd.choice(["word", "Satz. ", "x, ", "\n\n", " ", "é", "字", "😀", "'ve", "!!!", "   ", "ༀ"]) for _ in range(rnd.randint(1, 150)))
+        limit = rnd.randint(9, 40)
+        found = S.cut_batch([text], limit, rnd.randint(0, limit - 8), name)
+        assert found[0][2] == 0 and found[-1][3] == len(text)
+        assert all(own.count(text[a:b]) <= limit for _, _, a, b, _ in found)
+        assert all(a[2] < b[2] <= a[3] < b[3] for a, b in zip(found, found[1:]))
+        assert list(own.located(text)[0]) == own.starts(text)

@@ -3,30 +3,43 @@
 from __future__ import annotations
 
 import bz2
+import errno
 import gzip
 import io
 import tarfile
 import zipfile
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def zip_find(data: bytes, needle: str = "") -> Iterator[tuple[str, bytes]]:
+def opened(data: bytes | BinaryIO) -> BinaryIO:
+    """The bytes as a file; an open file is taken as it is."""
+    return data if hasattr(data, "read") else io.BytesIO(data)
+
+
+def unreadable(e: Exception) -> bool:
+    """Whether the file itself can't be read, rather than its contents being broken (which may also seek to nowhere)."""
+    return isinstance(e, OSError) and e.errno not in (None, errno.EINVAL)
+
+
+def zip_find(data: bytes | BinaryIO, needle: str = "") -> Iterator[tuple[str, bytes]]:
     """Entries of a ZIP whose name contains needle; only those are inflated.  Broken archives give what can be read."""
     try:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
+        with zipfile.ZipFile(opened(data)) as z:
             for info in z.infolist():
                 if needle in info.filename and not info.is_dir():
                     try:
                         yield info.filename, z.read(info)
                     except (zipfile.BadZipFile, zlib.error, NotImplementedError, EOFError, RuntimeError):
                         continue
-    except (zipfile.BadZipFile, EOFError, ValueError):
-        return
+    except (zipfile.BadZipFile, EOFError, ValueError, OSError) as e:
+        if unreadable(e):
+            raise
 
 
 def tar_find(data: bytes, needle: str = "") -> Iterator[tuple[str, bytes]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import BinaryIO
 from xml.parsers import expat
 
 import pandas as pd
@@ -85,14 +86,14 @@ def dependencies(xml: bytes, exclusions_overwrite: bool = True) -> list[dict]:
     return out
 
 
-def pom_of(path: str, data: bytes) -> bytes | None:
+def pom_of(path: str, data: bytes | BinaryIO) -> bytes | None:
     """The POM itself, or the one that a JAR carries under META-INF/maven."""
     if path.endswith(".pom"):
-        return data
+        return data.read() if hasattr(data, "read") else data
     return next((d for n, d in zip_find(data, "pom.xml") if n.startswith("META-INF/maven/") and n.endswith("/pom.xml")), None)
 
 
-def extract(path: str, data: bytes | None) -> dict | None:
+def extract(path: str, data: bytes | BinaryIO | None) -> dict | None:
     pom = pom_of(path, data or b"")
     return project(pom) if pom is not None else None
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import io
 import tarfile
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, ByteType, StringType, StructField, Stru
 
 from ..functions import maven as M
 from ..functions import packages as P
-from ..functions.archives import zip_find
+from ..functions.archives import opened, unreadable, zip_find
 from ..schema import declared as declared_schema
 
 Extract = Callable[[str, bytes], dict | None]
@@ -29,6 +29,7 @@ class Plugin:
     """suffixes select files; columns (expressions of the path) or extract (path, bytes) give their typed row.
 
     needs_data: whether extract looks at the bytes; otherwise they aren't sent to Python.
+    opens: whether extract also takes an open file in place of the bytes, so that no file has to fit in memory.
     """
 
     name: str
@@ -38,12 +39,16 @@ class Plugin:
     extract: Extract | None = None
     columns: Callable[[Column], Column] | None = None
     needs_data: bool = True
+    opens: bool = False
 
     def matches(self, path: Column) -> Column:
         return P.matches(path, *self.suffixes)
 
     def rows(self, entries: DataFrame) -> DataFrame:
-        """(relative_path, pkg_type, fields...): a row for each matching file that has metadata."""
+        """(relative_path, pkg_type, fields...): a row for each matching file that has metadata.
+
+        Entries have their content, or the file to open for it; a file that can't be read raises.
+        """
         own = entries.where(self.matches(F.col("relative_path")))
         head = StructType([StructField("relative_path", StringType()), StructField("pkg_type", ByteType())])
         if self.columns:
@@ -51,17 +56,24 @@ class Plugin:
             return found.select("relative_path", "pkg_type", *(F.col(f"x.{f.name}").alias(f.name) for f in self.schema))
         out = StructType([*head.fields, *self.schema.fields])
         arrow, extract, type_id, names = to_arrow_schema(out), self.extract, self.type_id, self.schema.names
+        opens, from_file = self.opens, self.needs_data and "content" not in entries.columns
+
+        def one(path: str, data: pa.Scalar) -> dict | None:
+            if not from_file:
+                return extract(path, data.as_py() or b"")
+            with open(data.as_py(), "rb") as f:
+                return extract(path, f if opens else f.read())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 rows = []
                 for path, data in zip(b.column(0).to_pylist(), b.column(1)):
-                    x = extract(path, data.as_py() or b"")
+                    x = one(path, data)
                     if x is not None:
                         rows.append({"relative_path": path, "pkg_type": type_id} | {n: x.get(n) for n in names})
                 yield pa.RecordBatch.from_pylist(rows, arrow)
 
-        data = F.col("content").cast("binary") if self.needs_data else F.lit(None).cast("binary")
+        data = F.col("file") if from_file else F.col("content").cast("binary") if self.needs_data else F.lit(None).cast("binary")
         return own.select("relative_path", data.alias("content")).mapInArrow(run, out)
 
 
@@ -93,13 +105,15 @@ class Registry:
         return out
 
 
-def crate_dependencies(data: bytes) -> list[str]:
+def crate_dependencies(data: bytes | BinaryIO) -> list[str]:
     """Names in the [dependencies] section of the first Cargo.toml of a crate."""
     try:
-        with tarfile.open(fileobj=io.BytesIO(data), mode="r:gz") as t:
+        with tarfile.open(fileobj=opened(data), mode="r:gz") as t:
             member = next((m for m in t if m.name == "Cargo.toml" or m.name.endswith("/Cargo.toml")), None)
             text = t.extractfile(member).read().decode() if member else ""
-    except (tarfile.TarError, EOFError, OSError, zlib.error, UnicodeDecodeError, AttributeError):
+    except (tarfile.TarError, EOFError, OSError, zlib.error, UnicodeDecodeError, AttributeError) as e:
+        if unreadable(e):
+            raise
         return []
     names, section = [], ""
     for line in map(str.strip, text.splitlines()):
@@ -124,14 +138,14 @@ def _crate(path: str, data: bytes) -> dict | None:
 def cargo(deps: bool = False) -> Plugin:
     if not deps:
         return Plugin("cargo", TYPE_IDS["cargo"], P.CARGO, CRATE, columns=P.crate)
-    return Plugin("cargo", TYPE_IDS["cargo"], P.CARGO, StructType([*CRATE.fields, StructField("dependencies", ArrayType(StringType()))]), extract=_crate)
+    return Plugin("cargo", TYPE_IDS["cargo"], P.CARGO, StructType([*CRATE.fields, StructField("dependencies", ArrayType(StringType()))]), extract=_crate, opens=True)
 
 
 def maven() -> Plugin:
-    return Plugin("maven", TYPE_IDS["maven"], P.MAVEN, M.PROJECT, extract=M.extract)
+    return Plugin("maven", TYPE_IDS["maven"], P.MAVEN, M.PROJECT, extract=M.extract, opens=True)
 
 
-def wheel_files(data: bytes) -> dict[str, str]:
+def wheel_files(data: bytes | BinaryIO) -> dict[str, str]:
     """METADATA and RECORD of a wheel, the first of each under a .dist-info folder."""
     out: dict[str, str] = {}
     for name, body in zip_find(data, ".dist-info/"):
@@ -161,7 +175,7 @@ def pypi(deps: bool = False) -> Plugin:
 class _PypiWithDeps(Plugin):
     def rows(self, entries: DataFrame) -> DataFrame:
         names = pypi().rows(entries)
-        needs = Plugin("requires", self.type_id, (".whl",), StructType([StructField("requires_dist", ArrayType(StringType()))]), extract=_pypi_data).rows(entries)
+        needs = Plugin("requires", self.type_id, (".whl",), StructType([StructField("requires_dist", ArrayType(StringType()))]), extract=_pypi_data, opens=True).rows(entries)
         return names.join(needs.drop("pkg_type"), "relative_path", "left")
 
 

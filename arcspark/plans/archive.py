@@ -53,13 +53,13 @@ def write(entries: DataFrame, out: str, no_skip: bool = False, plugins: tuple[Pl
 
 
 def write_dir(spark: SparkSession, path: str, out: str, no_skip: bool = False, plugins: tuple[Plugin, ...] = (), repo: str = "", slice_size: int = ingest.SLICE, level: int = codec.LEVEL) -> DataFrame:
-    """Write a folder as an archive.  All files are read in ranges of slice_size, so none has to fit in a row; plugins see files up to 1 GiB."""
+    """Write a folder as an archive.  All files are read in ranges of slice_size, so none has to fit in a row; plugins see every file's path, or open it where they read bytes."""
     ranges.register(spark)
     pkg_type = plugins[0].type_id if plugins else 0
     raw = spark.read.format("byte_ranges").option("rangeSize", slice_size).load(path)
     own = raw.withColumn("compressed", ~ingest.skip_flag(F.col("relative_path"), no_skip)).withColumn("pkg_type", F.lit(pkg_type).cast("tinyint")).withColumn("repo", F.lit(repo))
     encoded = codec.encode(own.select("relative_path", "chunk_seq", "fdata_offset", "compressed", "uncompressed_size", *GROUP, "data"), level)
-    extension = Registry(list(plugins)).rows(sources.from_dir(spark, path, max_size=1 << 30)) if plugins else None
+    extension = Registry(list(plugins)).rows(sources.names(spark, path)) if plugins else None
     config = {"format_version": "3", "compression_level": level, "file_split_block_size": slice_size, "checksum": "sha256", "no_skip": no_skip}
     return ingest.compression_report(_put(encoded, out, config, extension).index())
 

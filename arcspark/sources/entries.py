@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,14 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(_relative(spark, path).alias("relative_path"), F.col("length").alias("file_size")).unionByName(_empty(spark, path).withColumn("file_size", F.lit(0).cast("bigint")))
 
 
+def names(spark: SparkSession, path: str) -> DataFrame:
+    """(relative_path, file) of all files that the range source reads, whatever their size; file is where executors open it."""
+    ranges.register(spark)
+    root = os.path.abspath(ranges.local_path(path))
+    base = os.path.dirname(root) if os.path.isfile(root) else root
+    return spark.read.format("byte_ranges").option("only", "names").load(path).select("relative_path", F.concat(F.lit(base.rstrip("/") + "/"), "relative_path").alias("file"))
+
+
 def from_dir(spark: SparkSession, path: str, pkg_type: int | None = None, repo: str | None = None, max_size: int | None = None) -> DataFrame:
     """Entries of a folder's files up to max_size bytes; larger ones are for the range source."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

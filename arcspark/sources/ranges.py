@@ -34,15 +34,15 @@ class RangeReader(DataSourceReader):
         self.size = int(options.get("rangesize", 8 << 20))
         self.task_size = int(options.get("tasksize", 128 << 20))
         self.task_files = int(options.get("taskfiles", 2000))
-        self.only_empty = options.get("only", "all") == "empty"
+        self.only = options.get("only", "all")
 
     def partitions(self) -> list[Ranges]:
         out, now, total = [], [], 0
         for path, n in files_below(self.root):
-            if n and self.only_empty:
+            if n and self.only == "empty":
                 continue
-            for at in range(0, max(n, 1), self.size):
-                part = min(self.size, n - at)
+            for at in range(0, max(n, 1), max(n, 1) if self.only == "names" else self.size):
+                part = n if self.only == "names" else min(self.size, n - at)
                 if now and (total + part > self.task_size or len(now) >= self.task_files):
                     out.append(Ranges(now))
                     now, total = [], 0
@@ -53,6 +53,9 @@ class RangeReader(DataSourceReader):
     def read(self, partition: Ranges) -> Iterator[tuple]:
         base = self.root if os.path.isdir(self.root) else os.path.dirname(self.root)
         for path, at, n in partition.spans:
+            if self.only == "names":
+                yield os.path.relpath(path, base), 0, 0, None, n
+                continue
             with open(path, "rb") as f:
                 f.seek(at)
                 data = f.read(n)
@@ -62,7 +65,10 @@ class RangeReader(DataSourceReader):
 
 
 class ByteRanges(DataSource):
-    """spark.read.format('byte_ranges').option('rangeSize', n).load(path): chunks of all files below a path."""
+    """spark.read.format('byte_ranges').option('rangeSize', n).load(path): chunks of all files below a path.
+
+    Option only: 'empty' for empty files alone, 'names' for one row a file with its size and without its bytes.
+    """
 
     @classmethod
     def name(cls) -> str:

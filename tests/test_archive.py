@@ -1,6 +1,8 @@
 import os
+import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from arcspark import cli
 from arcspark.operators import codec, ingest, reading
@@ -204,3 +206,30 @@ def test_command_line(spark, tmp_path, capsys):
 def test_materialize_keeps_rows(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
     assert sorted(map(tuple, materialize(df, "t").collect())) == [(1, None), (2, "x")]
+
+
+def test_plugins_see_files_of_any_size_and_name(spark, tmp_path):
+    root = tmp_path / "in"
+    (root / "_hidden").mkdir(parents=True)
+    (root / "_hidden/a-2-py3-none-any.whl").write_bytes(b"x")
+    pom = b"<project><groupId>g</groupId><artifactId>a</artifactId><version>7</version></project>"
+    with open(root / "big.jar", "wb+") as f:
+        f.truncate(1 << 30)
+        f.seek(0, 2)
+        with zipfile.ZipFile(f, "a") as z:
+            z.writestr("META-INF/maven/g/a/pom.xml", pom)
+    with open(root / "serde-1.0.200.crate", "wb") as f:
+        f.truncate((1 << 30) + 1)
+    (root / "small.pom").write_bytes(pom)
+    (root / "broken.jar").write_bytes(b"PK\x05\x06" + b"\xff" * 18)
+    out = shared_path(spark, "archive")
+    archive.write_dir(spark, str(root), out, no_skip=True, plugins=(PL.maven(), PL.cargo(), PL.pypi()), level=1)
+    got = {r.relative_path: r.version for r in archive.open(spark, out).index().select("relative_path", "version").distinct().collect()}
+    assert got == {"_hidden/a-2-py3-none-any.whl": "2", "big.jar": "7", "serde-1.0.200.crate": "1.0.200", "small.pom": "7", "broken.jar": None}
+
+
+def test_unreadable_file_raises(spark, tmp_path):
+    (tmp_path / "a.pom").write_bytes(b"<project/>")
+    rows = PL.maven().rows(entries.names(spark, str(tmp_path)).withColumn("file", F.lit(str(tmp_path / "gone.pom"))))
+    with pytest.raises(Exception, match="gone.pom"):
+        rows.collect()

@@ -15,10 +15,14 @@ ENTRY = "relative_path string, content binary, pkg_type tinyint, repo string"
 def _root(spark: SparkSession, path: str) -> str:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).makeQualified(p).toString()
+    fs = p.getFileSystem(conf)
+    # A pattern's root is the folder before it, a file's root its folder.
+    while set("*?[{") & set(p.toString()) or fs.isFile(p):
+        p = p.getParent()
+    return fs.makeQualified(p).toString()
 
 
-def _relative(spark: SparkSession, path: str) -> Column:
+def relative(spark: SparkSession, path: str) -> Column:
     root = _root(spark, path).rstrip("/") + "/"
     plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
     own = plain(F.col("path"))
@@ -34,7 +38,7 @@ def _empty(spark: SparkSession, path: str) -> DataFrame:
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """(relative_path, file_size) of all regular files below a folder; contents aren't read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return raw.select(_relative(spark, path).alias("relative_path"), F.col("length").alias("file_size")).unionByName(_empty(spark, path).withColumn("file_size", F.lit(0).cast("bigint")))
+    return raw.select(relative(spark, path).alias("relative_path"), F.col("length").alias("file_size")).unionByName(_empty(spark, path).withColumn("file_size", F.lit(0).cast("bigint")))
 
 
 def names(spark: SparkSession, path: str) -> DataFrame:
@@ -50,7 +54,7 @@ def from_dir(spark: SparkSession, path: str, pkg_type: int | None = None, repo:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     if max_size is not None:
         raw = raw.where(F.col("length") <= max_size)
-    files = raw.select(_relative(spark, path).alias("relative_path"), "content").unionByName(_empty(spark, path).withColumn("content", F.lit(b"")))
+    files = raw.select(relative(spark, path).alias("relative_path"), "content").unionByName(_empty(spark, path).withColumn("content", F.lit(b"")))
     return files.select("relative_path", "content", F.lit(pkg_type).cast("tinyint").alias("pkg_type"), F.lit(repo).cast("string").alias("repo"))
 
 

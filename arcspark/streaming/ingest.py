@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from ..operators import ingest
 from ..plans import archive
+from ..sources import entries
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def files(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
-    """A stream of entries: files as they appear below a folder.  Spark's file stream passes over empty files."""
+    """A stream of entries: files as they appear below a folder, by their paths relative to it.  Spark's file stream passes over empty files."""
     raw = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true")
     if per_trigger:
         raw = raw.option("maxFilesPerTrigger", per_trigger)
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    return raw.load(path).select(name.alias("relative_path"), "content", F.lit(None).cast("tinyint").alias("pkg_type"), F.lit(None).cast("string").alias("repo"))
+    return raw.load(path).select(entries.relative(spark, path).alias("relative_path"), "content", F.lit(None).cast("tinyint").alias("pkg_type"), F.lit(None).cast("string").alias("repo"))
 
 
 class Ingest:

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from arcspark.operators import codec, reading
 from arcspark.session import shared_path
 from arcspark.streaming import ingest, segments, windows
 
@@ -66,3 +67,17 @@ def test_carry():
 def test_segment_bytes(spark):
     df = spark.createDataFrame([("p", 5, 0, bytearray(b"b")), ("p", 0, 0, bytearray(b"a")), ("q", 0, 0, bytearray(b"z"))], "path string, at bigint, n bigint, data binary")
     assert {r.path: bytes(r.content) for r in segments.bytes_of(df).collect()} == {"p": b"ab", "q": b"z"}
+
+
+def test_stream_keeps_folders(spark, tmp_path):
+    root = tmp_path / "in"
+    for d in ("a", "b/c"):
+        (root / d).mkdir(parents=True)
+        (root / d / "pom.xml").write_bytes(d.encode())
+    out = shared_path(spark, "stream")
+    report = ingest.Ingest(ingest.files(spark, str(root)), out).finish().first()
+    got = {r.relative_path: bytes(r.content) for r in reading.reassemble(codec.decode(spark.read.parquet(f"{out}/blobs"))).collect()}
+    assert report.total_files == 2 and got == {"a/pom.xml": b"a", "b/c/pom.xml": b"b/c"}
+    out = shared_path(spark, "stream")
+    ingest.Ingest(ingest.files(spark, f"{root}/*"), out).finish()
+    assert {r.relative_path for r in spark.read.parquet(f"{out}/index").collect()} == set(got)

@@ -95,20 +95,22 @@ def select_ranks(df: DataFrame, keys: list[str], value: str, base: DataFrame, qu
 def profile(df: DataFrame, keys: list[str], value: str, quantiles: tuple[float, ...] = QUANTILES, heavy_share: float = 0.04) -> DataFrame:
     """One row for each key: rows, n, total, least, most, share of all totals, is_heavy, and a column for each quantile (p50, p90, ...)."""
     base = materialize(totals(df, keys, value), "totals")
-    picked = select_ranks(df, keys, value, base, quantiles)
     cols = {q: f"p{q * 100:g}".replace(".", "_") for q in quantiles}
-    by_key = picked.groupBy(*keys).agg(*(F.max(F.when(F.col("q") == float(q), F.col("result"))).alias(c) for q, c in cols.items()))
     whole = base.agg(F.sum("total")).first()[0]
     share = F.col("total") / F.lit(whole) if whole else F.lit(None).cast("double")
     # Exact in integers: share >= heavy_share without rounding.
     permille = round(heavy_share * 10_000)
     heavy = F.coalesce(F.col("total").cast("decimal(38,0)") * 10_000 >= F.lit(whole or 0).cast("decimal(38,0)") * permille, F.lit(False)) if whole else F.lit(False)
-    return base.join(by_key, keys, "left").select(*keys, "rows", "n", "total", F.col("lo").alias("least"), F.col("hi").alias("most"), share.alias("share"), heavy.alias("is_heavy"), *cols.values())
+    out = base
+    if quantiles:
+        picked = select_ranks(df, keys, value, base, quantiles)
+        out = base.join(picked.groupBy(*keys).agg(*(F.max(F.when(F.col("q") == float(q), F.col("result"))).alias(c) for q, c in cols.items())), keys, "left")
+    return out.select(*keys, "rows", "n", "total", F.col("lo").alias("least"), F.col("hi").alias("most"), share.alias("share"), heavy.alias("is_heavy"), *cols.values())
 
 
 def heavy_keys(manifest: DataFrame) -> DataFrame:
-    """(pkg_type, repo) of each key with at least 4 % of all index rows."""
-    found = profile(materialize(entries(manifest), "entries"), KEY, "row_count")
+    """(pkg_type, repo) of each key with at least 4 % of all index rows; sums decide it, no quantile is selected."""
+    found = profile(materialize(entries(manifest), "entries"), KEY, "row_count", ())
     return found.where("is_heavy").select(*KEY)
 
 

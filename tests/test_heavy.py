@@ -36,3 +36,9 @@ def test_key_results(spark):
     got = {(r.pkg_type, r.repo): tuple(r)[2:] for r in H.key_results(man, index).collect()}
     assert got == {(1, "r"): (1, 4, 2, 40, 1, 10, 30, 30, True), (3, "only"): (1, 1, 0, 0, 0, None, None, None, True), (0, ""): (0, 0, 1, 0, 1, None, None, None, False)}
     assert H.key_results(man.where("false"), index.where("false")).collect() == []
+
+
+def test_heavy_keys_select_no_quantiles(spark, monkeypatch):
+    monkeypatch.setattr(H, "select_ranks", lambda *a: pytest.fail("the 4 % rule needs sums only"))
+    df = spark.createDataFrame([(1, 1, 1, "r", None, 0, 9, 96, 1, "z"), (2, 1, 2, "q", None, 0, 9, 3, 1, "z")], MAN)
+    assert [tuple(r) for r in H.heavy_keys(df).collect()] == [(1, "r")]

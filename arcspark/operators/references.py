@@ -115,7 +115,7 @@ def with_filter(refs: DataFrame, filter_blocks: DataFrame, blocks: int) -> DataF
 def orphans(ext: DataFrame, edges: DataFrame, removed: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """(src_table, src_id, ref_no, at, reason) of each reference that doesn't hold when made.
 
-    reason is 'unknown' if the filter proves that no upload ever had the key, else 'not alive'.
+    reason is 'unknown' if nothing was ever alive under the key, else 'not alive'; exact, whether the filter is used or not.
     """
     refs = extension_references(ext).unionByName(edge_references(edges)).select("src_table", "src_id", "ref_no", "at", key_of(F.col("name"), F.col("version")).alias("key"))
     alive = materialize(alive_periods(ext, removed), "alive-periods")
@@ -124,11 +124,13 @@ def orphans(ext: DataFrame, edges: DataFrame, removed: DataFrame, max_filter_byt
     join = lambda r: r.alias("r").join(
         alive.alias("p"), (F.col("r.key") == F.col("p.key")) & (F.col("r.at") >= F.col("p.since")) & (F.col("r.at") < F.col("p.until")), "left_anti"
     )
+    known = alive.select("key").distinct().withColumn("known", F.lit(True))
+    told = lambda r: r.join(known, "key", "left").select(*cols, F.when(F.col("known"), F.lit("not alive")).otherwise(F.lit("unknown")).alias("reason"))
     if blocks * 128 > max_filter_bytes:
-        return join(refs).select(*cols, F.lit("not alive").alias("reason"))
+        return told(join(refs))
     probed = with_filter(refs, bloom_blocks(alive, blocks), blocks)
     surely = probed.where("not maybe").select(*cols, F.lit("unknown").alias("reason"))
-    return surely.unionByName(join(probed.where("maybe")).select(*cols, F.lit("not alive").alias("reason")))
+    return surely.unionByName(told(join(probed.where("maybe"))))
 
 
 def report(found: DataFrame) -> DataFrame:

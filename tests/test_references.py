@@ -91,3 +91,9 @@ def test_empty_and_report(spark):
     assert ids(R.orphans(*frames(spark, [], [], []))) == []
     found = R.orphans(*frames(spark, [(1, "a", "1", ["zz", "yy"], T0)], [(1, "pypi:a:1", None, None, T0)], []))
     assert [tuple(r) for r in R.report(found).collect()] == [("extension_row", "2024-01", 2, 2)]
+
+
+def test_reasons_do_not_depend_on_the_filter(spark):
+    case = frames(spark, *random_case(4))
+    reasons = [sorted((r.src_table, r.src_id, r.ref_no, r.reason) for r in R.orphans(*case, max_filter_bytes=n).collect()) for n in (R.MAX_FILTER_BYTES, 0)]
+    assert reasons[0] == reasons[1] and {r[3] for r in reasons[0]} == {"unknown", "not alive"}

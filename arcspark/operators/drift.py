@@ -238,6 +238,13 @@ def alternatives(long: DataFrame) -> DataFrame:
     return long.groupBy("field", "tag", "series").agg(F.min("file_seq").alias("first_file"), F.count("*").alias("values"))
 
 
+def elected(long: DataFrame, fields: dict[str, str]) -> dict[str, str]:
+    """fields with each name, any of those that renames connect, replaced by the canonical one; a name not in the data stays."""
+    pairs = long.where(F.col("source_field").isin(*fields.values())).select("source_field", "field").distinct().collect()  # at most one row a name
+    names = {r["source_field"]: r["field"] for r in pairs}
+    return {c: names.get(f, f) for c, f in fields.items()}
+
+
 def wide(long: DataFrame, fields: dict[str, str]) -> DataFrame:
     """The long table as one row for each record and list entry, with one column for each canonical field.
 

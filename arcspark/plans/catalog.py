@@ -26,7 +26,8 @@ def p1_alternatives(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_runs(spark: SparkSession, d: str) -> DataFrame:
     long = drift.records(table(spark, d, "history_line"))
-    return drift.wide(long, {"version": "version", "cores": "cores", "name": "results.name", "files": "results.files", "module_name": "module_name", "row_count": "row_count"})
+    fields = {"version": "version", "cores": "cores", "name": "results.name", "files": "results.files", "module_name": "module_name", "row_count": "row_count"}
+    return drift.wide(long, drift.elected(long, fields))
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from arcspark.operators import drift
+from arcspark.plans import catalog
 
 SCHEMA = "line_id bigint, series string, file_name string, file_seq int, line_no int, raw string, tag string, n string, field int"
 
@@ -108,3 +109,10 @@ def test_records_are_one_table(spark):
     }
     wide = drift.wide(long, {"cores": "cores", "files": "results.files"})
     assert wide.columns[-2:] == ["cores", "files"] and wide.where(F.col("files") == "3").count() == 1
+
+
+def test_runs_keep_a_field_whose_new_name_prevails(spark, tmp_path):
+    rows = [("s", 1, 1, '{"cores": 8, "version": "a"}'), ("s", 2, 1, '{"n_cores": 8, "version": "a"}'), ("s", 3, 1, '{"n_cores": 4, "version": "a"}')]
+    frame(spark, rows).write.parquet(str(tmp_path / "history_line.parquet"))
+    got = {(r.file_seq, r.cores, r.version, r.files) for r in catalog.p1_runs(spark, str(tmp_path)).collect()}
+    assert got == {(1, "8", "a", None), (2, "8", "a", None), (3, "4", "a", None)}

@@ -1,7 +1,7 @@
 """Single-file archives: blobs, one Arrow stream for each group's index, a manifest stream and a footer.
 
 The file ends with an 8-byte mark and the offset of the manifest; a file without the mark has one index, at the offset in its
-last 8 bytes.  The mark of foreign archives is an option.  Compressed blobs of foreign codecs can't be decoded
+last 8 bytes, and is read as one untyped group.  The mark of foreign archives is an option.  Compressed blobs of foreign codecs can't be decoded
 here and raise; their manifest, index and stored blobs can be read.
 """
 
@@ -64,10 +64,15 @@ def open_manifest(path: str, mark: bytes = MARK) -> list[dict]:
         size = f.seek(0, 2)
         f.seek(max(0, size - 16))
         kind, offset = footer(f.read(), mark)
-        if kind != "multi":
-            raise ValueError("archives with a single index aren't supported")
+        end = size - (16 if kind == "multi" else 8)
+        if offset > end:
+            raise ValueError("no archive: its footer points beyond its end")
         f.seek(offset)
-        return manifest_entries(f.read(size - 16 - offset))
+        if kind == "multi":
+            return manifest_entries(f.read(end - offset))
+        with pa.ipc.open_stream(f.read(end - offset)) as own:
+            rows = sum(b.num_rows for b in own)
+        return [{"pkg_type": 0, "repo": "", "module_name": "", "index_offset": offset, "index_len": end - offset, "row_count": rows}]
 
 
 def _signed(table: pa.Table) -> pa.Table:
@@ -89,14 +94,6 @@ class ContainerReader(DataSourceReader):
         self.path, self.table, self.mark = options["path"], options.get("table", "index"), bytes.fromhex(options.get("mark", MARK.hex()))
         self.names, self.types, self.keep = names, types, {}
 
-    def pushFilters(self, filters):  # noqa: N802
-        """Equality on the group's columns selects sub-indexes before any is read."""
-        for f in filters:
-            if self.table == "index" and isinstance(f, EqualTo) and f.attribute[0] in ("pkg_type", "repo"):
-                self.keep[f.attribute[0]] = f.value
-            else:
-                yield f
-
     def partitions(self) -> list[Group]:
         entries = open_manifest(self.path, self.mark)
         if self.table == "manifest":
@@ -117,8 +114,23 @@ class ContainerReader(DataSourceReader):
         yield from pa.Table.from_arrays(cols, self.names).to_batches()
 
 
+class PushdownReader(ContainerReader):
+    """Spark refuses a reader that takes filters where its session doesn't push any, so only such sessions get this one."""
+
+    def pushFilters(self, filters):  # noqa: N802
+        """Equality on the group's columns selects sub-indexes before any is read."""
+        for f in filters:
+            if self.table == "index" and isinstance(f, EqualTo) and f.attribute[0] in ("pkg_type", "repo"):
+                self.keep[f.attribute[0]] = f.value
+            else:
+                yield f
+
+
 class Container(DataSource):
-    """spark.read.format('archive_container').option('table', 'index' or 'manifest').load(path); groups with further columns take a schema."""
+    """spark.read.format('archive_container').option('table', 'index' or 'manifest').load(path); groups with further columns take a schema.
+
+    Option pushdown: 'true' in a session that pushes filters to Python sources (index() sees to it).
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -132,12 +144,14 @@ class Container(DataSource):
     def reader(self, schema) -> ContainerReader:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        return ContainerReader(self.options, schema.names, to_arrow_schema(schema))
+        kind = PushdownReader if self.options.get("pushdown") == "true" else ContainerReader
+        return kind(self.options, schema.names, to_arrow_schema(schema))
 
 
 def index(spark: SparkSession, path: str, mark: bytes = MARK) -> DataFrame:
     spark.dataSource.register(Container)
-    return spark.read.format("archive_container").option("mark", mark.hex()).load(path)
+    pushes = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("archive_container").option("mark", mark.hex()).option("pushdown", pushes).load(path)
 
 
 def manifest(spark: SparkSession, path: str, mark: bytes = MARK) -> DataFrame:

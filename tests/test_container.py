@@ -47,10 +47,30 @@ def test_blobs(spark, path):
     assert {r.relative_path: bytes(r.content) for r in files.collect()} == {p: c for p, c, *_ in ROWS}
 
 
-def test_old_archives_are_refused(spark, tmp_path):
-    (tmp_path / "x").write_bytes(b"data" + (0).to_bytes(8, "little"))
+def test_without_pushdown(spark, path):
+    """A session that pushes no filters to Python sources reads the same rows."""
+    key = "spark.sql.python.filterPushdown.enabled"
+    spark.conf.set(key, "false")
+    try:
+        assert [r.relative_path for r in C.index(spark, path).where("repo = 'y'").collect()] == ["i.png"]
+        assert C.index(spark, path).count() == 6 and C.manifest(spark, path).count() == 3
+    finally:
+        spark.conf.set(key, "true")
+
+
+def test_single_index(spark, tmp_path):
+    """An archive of the older form has no manifest: its one index stands at the offset in its last 8 bytes."""
+    names = C.ARROW_INDEX.names
+    rows = [dict(zip(names, ("a", 0, 0, False, 3, 0, 3, bytes(32)))), dict(zip(names, ("b", 0, 0, False, 1, 3, 1, bytes(32))))]
+    own = C.stream_bytes(C.pa.Table.from_pylist(rows, C.ARROW_INDEX))
+    (tmp_path / "x").write_bytes(b"abcd" + own + (4).to_bytes(8, "little"))
+    file = str(tmp_path / "x")
+    assert [tuple(r) for r in C.manifest(spark, file).select("pkg_type", "repo", "index_offset", "row_count").collect()] == [(0, "", 4, 2)]
+    blobs = C.stored_blobs(spark, file, C.index(spark, file))
+    assert {r.relative_path: bytes(r.blob) for r in blobs.collect()} == {"a": b"abc", "b": b"d"}
+    (tmp_path / "y").write_bytes(b"data" + (99).to_bytes(8, "little"))
     with pytest.raises(Exception):
-        C.manifest(spark, str(tmp_path / "x")).collect()
+        C.manifest(spark, str(tmp_path / "y")).collect()
 
 
 def test_table_sink(spark):

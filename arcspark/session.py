@@ -7,7 +7,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -63,6 +64,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame, name: str, only: Column | None = None) -> tuple[DataFrame, int]:
+    """materialize, and the number of its rows (for which only holds), counted while they are written."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count(F.lit(1) if only is None else F.when(only, 1)).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def forget(df: DataFrame) -> None:
     """Remove a copy made by materialize that nothing reads any more."""
     path = getattr(df, "_arcspark_path", None)

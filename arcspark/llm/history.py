@@ -1,99 +1,159 @@
 """New batches against everything accepted before (problem 2).
 
-A prefix-tree hash forest.  Each distinct set of checksums gets TREES sequences of DEPTH
-independent minimum hashes; a sequence is its path in one prefix tree, and the tree is kept as
-a table sorted by that sequence, so that a subtree is a contiguous range of rows.  A batch
-locates its entries by range search (a merge of sorted runs on the prefix), with prefixes
-that are widened, from DEPTH hashes on, until the chance to miss a set of the wanted similarity is
-under 1 - RECALL.  Every pair found is verified on whole sets.  What a batch adds is written as
-one more sorted run; merge() rewrites the runs as one.
-
-Three things keep the work bounded by the data rather than by its repetitions:
-
-* equal sets are one class, and equal (place, size) are one group, both kept as keys; a
-  hot group is never expanded into pairs;
-* two different sets of similarity 0.8 or more share at least 4 members, so sets of up to 3 never
-  enter the forest;
-* a range with more than HOT_RANGE sets (blocks that a large part of all files share) leaves the
-  forest search and is handled exactly: two sets of that similarity share one of their
-  rarest members, so its sets meet on these only.
-
-The order of arrival decides which file is accepted: a file is turned down if an earlier accepted one
-repeats it.  That is settled by rounds over the states of keys (at most one file of a class or group
-is ever accepted), with as many rounds as the longest chain of undecided repeats.
+A prefix-tree hash forest.  Each distinct set of checksums has a path of DEPTH nodes in each of TREES prefix trees: the d-th
+node stands for its first d minimum hashes there.  Paths are kept in sorted runs, so that the sets below a node are
+a contiguous range; a run is cut into segments by the leading bits of that order.  A batch
+
+* looks up its sets and its places by key,
+* plans a range for each new set in each tree: it begins at the deepest node and widens towards the root until the chance to miss a
+  set of the wanted similarity, over all trees, is under 1 - RECALL.  A node with more than HOT_RANGE sets below
+  it is not entered: the set stays at a narrower one in that tree and widens further in the others,
+* searches these ranges in the segments they lie in, and verifies what it finds member by member,
+* adds what it accepts as one more run.  Beyond MAX_RUNS runs the newest are merged, up to the first that is larger than all newer
+  ones together, so a row is rewritten about log(batches) times.
+
+What a batch reads of the history is the segments its keys lie in, whatever the history's size, as long as a batch has fewer
+keys than there are segments; with more keys every segment is touched.
+
+Two things keep the work bounded by the data rather than by its repetitions: equal sets are one class and equal (place,
+size) are one group, both kept as keys, and a hot group is never expanded into pairs; and sets that can't reach the
+recall outside hot nodes are searched exactly instead: a similar set holds one of any n - ceil(0.8 n) + 1 of their n members, of which the
+rarest are looked up in an index of members.  Sets of up to 3 members can only repeat equal sets, and don't enter the forest.
+
+The order of arrival (batch_no, then file_index) decides which file is accepted: a file is turned down if an earlier accepted one
+repeats it; what the history holds is earlier than any batch.  Within a batch that is settled by rounds over the states of keys
+(at most one file of a class or group is ever accepted), with as many rounds as the longest chain of undecided repeats.
+
+Members are 64-bit hashes of checksums: two unlike members of a pair that is compared are taken for equal with a chance of 2**-64.
+A set travels as one row of 8 bytes a member, as all chunk lists of a file do.
 
 Defined results: rows with a null file_index or batch_no belong to no file and are left out; each
-(file, chunk_seq) counts once, rows with a null chunk_seq once for each checksum; null sizes are 0;
+(file, chunk_seq) counts once, at its largest size, rows with a null chunk_seq once for each checksum; null sizes are 0;
 files of total size 0 or without checksums take part by place and size alone, files without a path
 by checksums alone; further columns are ignored; an empty batch repeats nothing.
 """
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, ByteType, LongType
 
 from ..functions.paths import place
-from ..session import forget, materialize, shared_path
+from ..session import counted, forget, materialize, shared_path
 
 SIMILARITY = (4, 5)
 TREES = 12
 DEPTH = 4
 RECALL = 0.99999
-#: Sets in one range, from which on it is searched by rarest members instead.
+#: Sets below one node, from which on the search doesn't enter it.
 HOT_RANGE = 200
-#: A batch's prefixes and keys are broadcast to the history up to so many rows (of some 60 bytes each).
+#: A batch's keys are broadcast to the history up to so many rows (of some 60 bytes each).
 MAX_LOOKUP = 500_000
-
-
-def search_depth(similarity: float = SIMILARITY[0] / SIMILARITY[1], trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix whose ranges, over all trees, hold a set of that similarity with the wanted chance."""
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
-        depth -= 1
-    return depth
+#: Rows of a segment, on average, and the largest number of leading bits that tell segments apart.
+SEGMENT_ROWS = 1 << 16
+MAX_BITS = 16
+#: A batch with more keys than this reads all segments.
+MAX_PRUNED = 10_000
+MAX_RUNS = 4
+#: A backfill checks so many batches at once, then as many as the history holds.
+FIRST_BATCHES = 256
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def paths_of(tokens: pa.Array) -> np.ndarray:
+    """Nodes of each set (a list array without empty or null lists): TREES x DEPTH 64-bit numbers a row, tree by tree."""
+    flat = tokens.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    first = tokens.offsets.to_numpy()[:-1].astype(np.int64) - tokens.offsets[0].as_py()
+    out = np.empty((len(tokens), TREES * DEPTH), np.int64)
+    if not len(tokens):
+        return out
+    with np.errstate(over="ignore"):
+        for tree in range(TREES):
+            node = np.full(len(tokens), tree + 1, np.uint64)
+            for d in range(DEPTH):
+                least = np.minimum.reduceat(_mix(flat + np.uint64(tree * DEPTH + d + 1) * _GOLD), first)
+                node = _mix((node * _GOLD) ^ least)
+                out[:, tree * DEPTH + d] = node.view(np.int64)
+    return out
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def nodes(tokens: pa.Array) -> pa.Array:
+    own = paths_of(tokens)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, TREES * DEPTH), pa.int32()), pa.array(own.ravel()))
+
+
+def widened(hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(depth in each tree, 0 for none; whether the recall is reached) for rows of TREES x DEPTH flags of nodes not to enter."""
+    s = SIMILARITY[0] / SIMILARITY[1]
+    best, done = np.zeros(hot.shape[:2], np.int8), np.zeros(len(hot), bool)
+    for level in range(DEPTH, 0, -1):
+        depth = np.zeros(hot.shape[:2], np.int8)
+        for d in range(DEPTH, level - 1, -1):
+            depth = np.where(hot[:, :, d - 1], depth, d)
+        best = np.where(done[:, None], best, depth)
+        done |= np.where(depth > 0, 1 - s**depth, 1.0).prod(axis=1) <= 1 - RECALL
+    return best, done
+
+
+@F.arrow_udf(ArrayType(ByteType()))
+def _plan(hot: pa.Array) -> pa.Array:
+    """Depth in each tree, then 1 where the recall is reached, from the positions of hot nodes."""
+    flags = np.zeros((len(hot), TREES * DEPTH), bool)
+    for i, own in enumerate(hot.to_pylist()):
+        flags[i, own or []] = True
+    depth, done = widened(flags.reshape(-1, TREES, DEPTH))
+    own = np.column_stack([depth, done]).astype(np.int8)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, TREES + 1), pa.int32()), pa.array(own.ravel()))
+
+
+def search_depth() -> int:
+    """The depth of a set without hot nodes."""
+    return int(widened(np.zeros((1, TREES, DEPTH), bool))[0][0, 0])
 
 
 def files(chunks: DataFrame) -> DataFrame:
-    """One row for each file: size, number of distinct checksums, class key and place key.
+    """(file_id, batch_no, n, size, cls, spot, tokens): one row for each file; tokens where it has more than 3.
 
-    Only mergeable aggregates are used (sums, minima, bitwise xor), so no file's chunks are gathered.
+    Rows are reduced by (file, chunk, checksum) before a file's own distinct checksums meet in its row.
     """
     own = chunks.where("file_index is not null and batch_no is not null")
-    token = F.when(F.col("checksum").isNotNull(), F.xxhash64("checksum"))
     nth = F.when(F.col("chunk_seq").isNull(), F.xxhash64("checksum"))
     once = (
-        own.select("file_index", F.col("batch_no").cast("int").alias("batch_no"), "chunk_seq", nth.alias("nth"), token.alias("token"), F.coalesce(F.col("uncompressed_size").cast("bigint"), F.lit(0)).alias("size"))
-        .groupBy("file_index", "batch_no", "chunk_seq", "nth").agg(F.max("token").alias("token"), F.max("size").alias("size"))
+        own.select(F.col("file_index").cast("bigint").alias("file_id"), F.col("batch_no").cast("int").alias("batch_no"), "chunk_seq", nth.alias("nth"), F.when(F.col("checksum").isNotNull(), F.xxhash64("checksum")).alias("token"), F.coalesce(F.col("uncompressed_size").cast("bigint"), F.lit(0)).alias("size"), "relative_path")
+        .groupBy("file_id", "batch_no", "chunk_seq", "nth", "token").agg(F.max("size").alias("size"), F.min("relative_path").alias("path"))
     )
-    tokens = once.groupBy("file_index", "batch_no", "token").agg(F.sum("size").alias("size"))
-    a, b = F.xxhash64("token", F.lit(-1)), F.xxhash64("token", F.lit(-2))
-    known = F.col("token").isNotNull()
-    sets = tokens.groupBy("file_index", "batch_no").agg(
-        F.count("token").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.when(known, a)).alias("x"), F.bit_xor(F.when(known, b)).alias("y")
-    )
-    paths = own.groupBy(F.col("file_index").alias("f"), F.col("batch_no").cast("int").alias("b")).agg(F.min("relative_path").alias("path"))
-    joined = sets.join(paths, (F.col("file_index") == F.col("f")) & (F.col("batch_no") == F.col("b")))
+    part = F.struct("chunk_seq", "nth", "size")
+    rows = once.groupBy("file_id", "batch_no").agg(F.sort_array(F.collect_set("token")).alias("tokens"), F.array_sort(F.collect_list(part)).alias("parts"), F.min("path").alias("path"))
+    # Of the rows of one chunk the last, and largest, counts.
+    last = lambda p, i: ~F.coalesce(F.get("parts", i + 1)["chunk_seq"].eqNullSafe(p["chunk_seq"]) & F.get("parts", i + 1)["nth"].eqNullSafe(p["nth"]) & F.get("parts", i + 1).isNotNull(), F.lit(False))
+    size = F.aggregate(F.filter("parts", last), F.lit(0).cast("bigint"), lambda a, p: a + p["size"])
+    sized = rows.select("file_id", "batch_no", "tokens", F.size("tokens").alias("n"), size.alias("size"), place("path").alias("place"))
+    digest = lambda c: F.unhex(F.md5(c.cast("binary")))
     usable = (F.col("n") > 0) & (F.col("size") > 0)
-    digest = lambda *c: F.unhex(F.md5(F.concat_ws("|", *c).cast("binary")))
-    return joined.withColumn("place", place("path")).select(
-        F.col("file_index").cast("bigint").alias("file_id"), "batch_no", "n", "size",
-        F.when(usable, digest(F.col("n"), F.col("x"), F.col("y"))).alias("cls"),
-        F.when(F.col("place").isNotNull(), digest(F.col("size"), F.col("place"))).alias("spot"),
+    return sized.select(
+        "file_id", "batch_no", "n", "size",
+        F.when(usable, digest(F.array_join(F.col("tokens").cast("array<string>"), ","))).alias("cls"),
+        F.when(F.col("place").isNotNull(), digest(F.concat_ws("|", F.col("size").cast("string"), "place"))).alias("spot"),
+        F.when(usable & (F.col("n") > 3), F.col("tokens")).alias("tokens"),
     )
 
 
-def members(chunks: DataFrame, keys: DataFrame) -> DataFrame:
-    """(cls, n, tokens, sig) of the classes in keys (file_id, batch_no, cls): one file's own distinct checksums and their minimum hashes."""
-    own = chunks.where("checksum is not null").select(F.col("file_index").cast("bigint").alias("file_id"), F.col("batch_no").cast("int").alias("batch_no"), F.xxhash64("checksum").alias("token"))
-    sets = own.join(keys, ["file_id", "batch_no"]).groupBy("cls").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
-    least = lambda seed: F.array_min(F.transform("tokens", lambda t: F.xxhash64(t, seed)))
-    return sets.select("cls", F.size("tokens").cast("bigint").alias("n"), "tokens", F.array(*(least(F.lit(i)) for i in range(TREES * DEPTH))).alias("sig"))
-
-
-def forest(sets: DataFrame) -> DataFrame:
-    """(tree, prefix h0.., cls, n): one row for each class and tree."""
-    step = [F.element_at("sig", F.col("tree") * DEPTH + i + 1).alias(f"h{i}") for i in range(DEPTH)]
-    return sets.select("cls", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("tree", *step, "cls", "n")
+def sets_of(new: DataFrame) -> DataFrame:
+    """(cid, cls, n, tokens, nodes): each class of more than 3 members once."""
+    one = new.where("tokens is not null").select("cls", "n", "tokens").dropDuplicates(["cls"])
+    return one.select(F.xxhash64("cls").alias("cid"), "cls", "n", "tokens", nodes("tokens").alias("nodes"))
 
 
 def _close_in_size(a: Column, b: Column) -> Column:
@@ -101,53 +161,8 @@ def _close_in_size(a: Column, b: Column) -> Column:
     return (a * den >= b * num) & (b * den >= a * num)
 
 
-def _lookup(keys: DataFrame, name: str) -> DataFrame:
-    """Keys of a batch, to search the history by: broadcast while they are few, so that the history stays where it is."""
-    keys = materialize(keys, name)
-    return F.broadcast(keys) if keys.count() <= MAX_LOOKUP else keys
-
-
-def _range_pairs(new: DataFrame, old: DataFrame | None, depth: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of classes in one range, and the classes of ranges too hot for pairs."""
-    prefix = ["tree", *(f"h{i}" for i in range(depth))]
-    rows = new.select(*prefix, "cls", "n", F.lit(True).alias("is_new"))
-    if old is not None:
-        # Only the subtrees that the batch asks for leave the history's runs.
-        asked = old.join(_lookup(new.select(*prefix).distinct(), "prefixes"), prefix, "left_semi")
-        rows = rows.unionByName(asked.select(*prefix, "cls", "n", F.lit(False).alias("is_new")))
-    range_ = F.xxhash64(*prefix).alias("range")
-    keyed = rows.select(range_, "cls", "n", "is_new")
-    sizes = keyed.groupBy("range").agg(F.count("*").alias("sets"), F.max("is_new").alias("any_new")).where("sets > 1 and any_new")
-    used = keyed.join(sizes, "range")
-    mild = used.where(F.col("sets") <= HOT_RANGE)
-    # Every range is small here, so its sets travel as one row and meet inside it.
-    groups = mild.groupBy("range").agg(F.collect_list(F.struct("cls", "n", "is_new")).alias("g"))
-    both = groups.select(F.explode("g").alias("a"), "g").select("a", F.explode(F.filter("g", lambda b: (F.col("a.cls") < b["cls"]) & (F.col("a.is_new") | b["is_new"]) & _close_in_size(F.col("a.n"), b["n"]))).alias("b"))
-    pairs = both.select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct()
-    hot = used.where(F.col("sets") > HOT_RANGE).select("cls").distinct()
-    return pairs, hot
-
-
-def _rare_pairs(tokens: DataFrame) -> DataFrame:
-    """Exact candidates among the sets of hot ranges: they meet on one of their rarest members."""
-    num, den = SIMILARITY
-    flat = tokens.select("cls", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    seen = flat.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = flat.join(seen, "token").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
-    width = F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)).cast("int") + 1
-    # A member that one set alone has can't be shared: it takes its place in the prefix and is not sent.
-    first = ranked.select("cls", "n", F.explode(F.slice("t", F.lit(1), width)).alias("m")).where("m.df > 1").select("cls", "n", F.col("m.token").alias("token"))
-    b = first.select(F.col("cls").alias("cls_b"), F.col("n").alias("n_b"), "token")
-    return first.join(b, "token").where((F.col("cls") < F.col("cls_b")) & _close_in_size(F.col("n"), F.col("n_b"))).select(F.col("cls").alias("cls_a"), "cls_b").distinct()
-
-
-def verify(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Pairs whose sets share at least 0.8 of both together, compared member by member."""
-    num, den = SIMILARITY
-    a = tokens.select(F.col("cls").alias("cls_a"), F.col("tokens").alias("ta"))
-    b = tokens.select(F.col("cls").alias("cls_b"), F.col("tokens").alias("tb"))
-    common = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(a, "cls_a").join(b, "cls_b").where(common * den >= (F.size("ta") + F.size("tb") - common) * num).select("cls_a", "cls_b")
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= MAX_LOOKUP else df
 
 
 def _own(key: str) -> Column:
@@ -155,147 +170,317 @@ def _own(key: str) -> Column:
     return F.coalesce(F.col(key), F.concat(F.lit("-"), F.col("file_id").cast("string")).cast("binary"))
 
 
-def _settle(new: DataFrame, edges: DataFrame, accepted: DataFrame | None) -> DataFrame:
-    """State of each new file: 1 accepted, 2 repeating, by rounds over the states of its keys."""
+def _with(df: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """df left joined with found on a key that many rows of df may lack."""
+    return df.withColumn("__k", _own(key)).join(found.withColumnRenamed(key, "__k"), "__k", "left").drop("__k")
+
+
+def _below(sets: DataFrame) -> DataFrame:
+    """(cid, n, pos, key): every node of each set; pos is tree * DEPTH + depth - 1."""
+    return sets.select("cid", "n", F.posexplode("nodes").alias("pos", "key"))
+
+
+def _member_key(token: str = "token") -> Column:
+    return F.xxhash64(F.lit("member"), token)
+
+
+def _crowded(forest: DataFrame, members: DataFrame, least: int) -> DataFrame:
+    """(key, sets) of nodes and members with more than least sets."""
+    at = forest.select(F.explode(F.array(*(f"k{d}" for d in range(DEPTH)))).alias("key"))
+    return at.unionByName(members.select(_member_key().alias("key"))).groupBy("key").agg(F.count("*").alias("sets")).where(F.col("sets") > least)
+
+
+def _rows(sets: DataFrame) -> DataFrame:
+    """(k0.., cid, n): one row for each set and tree, its path."""
+    path = F.slice("nodes", F.col("tree") * DEPTH + 1, F.lit(DEPTH))
+    rows = sets.select("cid", "n", "nodes", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("cid", "n", path.alias("p"))
+    return rows.select(*(F.col("p")[d].alias(f"k{d}") for d in range(DEPTH)), "cid", "n")
+
+
+def _members(sets: DataFrame) -> DataFrame:
+    return sets.select(F.explode("tokens").alias("token"), "cid", "n")
+
+
+def _undecided(new: DataFrame, edges: DataFrame) -> DataFrame:
+    """(file_id, batch_no, state) of files that the history doesn't repeat: 1 accepted, 2 repeating, by rounds over the states of keys."""
     order = F.struct("batch_no", "file_id")
-    base = new.select("file_id", "batch_no", "cls", "spot", F.lit(0).alias("state"))
-    if accepted is not None:
-        base = base.unionByName(accepted.select("file_id", "batch_no", "cls", "spot", F.lit(1).alias("state")))
-    shared_cls = base.where("cls is not null").groupBy("cls").agg(F.count("*").alias("k")).where("k > 1").select("cls")
-    linked = shared_cls.union(edges.select("cls_a").distinct()).distinct().withColumn("c_on", F.lit(True))
-    shared_spot = base.where("spot is not null").groupBy("spot").agg(F.count("*").alias("k")).where("k > 1").select("spot", F.lit(True).alias("s_on"))
-    keyed = base.withColumn("ck", _own("cls")).withColumn("sk", _own("spot"))
-    marked = keyed.join(linked.withColumnRenamed("cls", "ck"), "ck", "left").join(shared_spot.withColumnRenamed("spot", "sk"), "sk", "left")
+    more = lambda key: new.where(f"{key} is not null").groupBy(key).agg(F.count("*").alias("k")).where("k > 1").select(key)
+    linked = more("cls").union(edges.select("cls_a")).distinct().withColumn("c_on", F.lit(True))
+    marked = _with(_with(new, linked, "cls"), more("spot").withColumn("s_on", F.lit(True)), "spot")
     # A file that shares no key and has no similar set is accepted at once and takes no part in the rounds.
     state = materialize(
-        marked.select("file_id", "batch_no", F.when(F.col("c_on"), F.col("cls")).alias("cls"), F.when(F.col("s_on"), F.col("spot")).alias("spot"), F.when((F.col("state") == 0) & F.col("c_on").isNull() & F.col("s_on").isNull(), 1).otherwise(F.col("state")).alias("state")),
+        marked.select("file_id", "batch_no", F.when(F.col("c_on"), F.col("cls")).alias("cls"), F.when(F.col("s_on"), F.col("spot")).alias("spot"), F.when(F.col("c_on").isNull() & F.col("s_on").isNull(), 1).otherwise(0).alias("state")),
         "states",
     )
-    alone = state.where("cls is null and spot is null")
-    busy = state.where("cls is not null or spot is not null")
-    first_state = state
+    alone, busy = state.where("state = 1"), state.where("state = 0")
+    old = None
     while True:
         agg = [F.min(F.when(F.col("state") == s, order)).alias(c) for s, c in ((1, "acc"), (0, "und"))]
         c = busy.where("cls is not null").groupBy("cls").agg(*agg)
         s = busy.where("spot is not null").groupBy("spot").agg(*agg).withColumnsRenamed({"acc": "s_acc", "und": "s_und"})
         near = edges.join(c, edges.cls_b == c.cls).groupBy("cls_a").agg(F.min("acc").alias("n_acc"), F.min("und").alias("n_und")).withColumnRenamed("cls_a", "cls")
-        own = c.withColumnsRenamed({"acc": "c_acc", "und": "c_und"}).join(near, "cls", "left")
-        keyed = busy.withColumn("ck", _own("cls")).withColumn("sk", _own("spot"))
-        seen = keyed.join(own.withColumnRenamed("cls", "ck"), "ck", "left").join(s.withColumnRenamed("spot", "sk"), "sk", "left")
-        acc = F.least("c_acc", "n_acc", "s_acc")
-        und = F.least("c_und", "n_und", "s_und")
+        seen = _with(_with(busy, c.withColumnsRenamed({"acc": "c_acc", "und": "c_und"}).join(near, "cls", "left"), "cls"), s, "spot")
+        acc, und = F.least("c_acc", "n_acc", "s_acc"), F.least("c_und", "n_und", "s_und")
         undecided = F.col("state") == 0
-        new_state = F.when(undecided & F.coalesce(acc < order, F.lit(False)), 2).when(undecided & (und >= order), 1).otherwise(F.col("state"))
-        step = materialize(seen.select("file_id", "batch_no", "cls", "spot", new_state.alias("state")), "states")
-        if busy is not first_state:
-            forget(busy)
-        busy = step
-        if step.where("state = 0").isEmpty():
-            return alone.unionByName(step)
-
-
-def _repeats(states: DataFrame, edges: DataFrame) -> DataFrame:
-    """(file_a, file_b): each repeating file with the accepted file or files it repeats, the smaller id first."""
-    bad = states.where("state = 2").select(F.col("file_id").alias("f"), F.struct("batch_no", "file_id").alias("f_at"), "cls", "spot")
-    good = states.where("state = 1").select(F.col("file_id").alias("a"), F.struct("batch_no", "file_id").alias("a_at"), "cls", "spot")
-    same = bad.join(good.drop("spot"), "cls").where("a_at < f_at")
-    spot = bad.join(good.drop("cls"), "spot").where("a_at < f_at")
-    near = bad.join(edges, bad.cls == edges.cls_a).join(good.select("a", "a_at", F.col("cls").alias("cls_b")), "cls_b").where("a_at < f_at")
-    pairs = same.select("f", "a").union(spot.select("f", "a")).union(near.select("f", "a"))
-    return pairs.select(F.least("f", "a").alias("file_a"), F.greatest("f", "a").alias("file_b")).distinct()
+        step = F.when(undecided & F.coalesce(acc < order, F.lit(False)), 2).when(undecided & (und >= order), 1).otherwise(F.col("state"))
+        busy, left = counted(seen.select("file_id", "batch_no", "cls", "spot", step.alias("state")), "states", F.col("state") == 0)
+        if old is not None:
+            forget(old)
+        old = busy
+        if not left:
+            return alone.unionByName(busy).select("file_id", "batch_no", "state")
 
 
 class History:
-    """Everything accepted so far, in a folder: accepted files, their sets and the sorted runs of the forest.
+    """Everything accepted so far, in a folder, as sorted runs:
 
-    A history opened on a folder that has runs goes on from them.
+    keys (k, key, file_id, batch_no, tokens) of classes and of places, forest (k0.., cid, n), members (token, cid, n), and
+    crowded (key, sets).  A history opened on a folder that has runs goes on from them.
 
-    check(batch) compares a batch with it and within itself; accept=True adds what is new as one more run.
-    A batch may be one ingest or a whole table.  Only ranges, sets and keys that the batch touches are read
-    into joins; the chunks of the history are never read again.
+    check(batch) compares a batch with it and within itself; accept=True adds what is new as one more run.  A batch may be one ingest or
+    many.  Chunks of the history are never read again.
     """
 
+    BY = {"keys": "k", "forest": "k0", "members": "token"}
+
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or shared_path(spark, "history")
-        self._live = self._recorded()
+        self.runs = self._recorded()
 
-    def _recorded(self) -> list[int]:
-        """The runs that the newest complete record in the folder names; a run that was cut off is in none."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+    def _files(self) -> tuple:
+        jvm = self.spark._jvm
         root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/runs")
-        fs = root.getFileSystem(conf)
-        done = [s.getPath() for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))] if fs.exists(root) else []
+        return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), root, jvm.org.apache.hadoop.fs.Path
+
+    def _recorded(self) -> list[dict]:
+        """The runs that the newest record in the folder names; a run that was cut off is in none."""
+        fs, root, path = self._files()
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        done = [int(n) for n in names if n.isdigit()]
         if not done:
             return []
-        newest = max(done, key=lambda p: int(p.getName()))
-        return sorted(r["run"] for r in self.spark.read.schema("run int").parquet(newest.toString()).collect())
-
-    def _record(self, runs: list[int]) -> None:
-        self.spark.createDataFrame([(r,) for r in runs], "run int").coalesce(1).write.parquet(f"{self.path}/runs/{max(runs)}")
-        self._live = runs
-
-    def _read(self, name: str) -> DataFrame | None:
-        if not self._live:
-            return None
-        return self.spark.read.parquet(*(f"{self.path}/{name}/run={i}" for i in self._live))
+        with_ = fs.open(path(root, str(max(done))))
+        try:
+            return json.loads(bytes(with_.readAllBytes()))
+        finally:
+            with_.close()
+
+    def _record(self, runs: list[dict]) -> None:
+        """Written beside its place and moved there, so that a record is there whole or not at all."""
+        fs, root, path = self._files()
+        name = str(max(r["run"] for r in runs))
+        out = fs.create(path(root, f"_{name}"), True)
+        out.write(json.dumps(runs).encode())
+        out.close()
+        fs.rename(path(root, f"_{name}"), path(root, name))
+        self.runs = runs
+
+    @staticmethod
+    def _bits(rows: int) -> int:
+        return min(MAX_BITS, max(0, int(rows // SEGMENT_ROWS).bit_length()))
+
+    def _put(self, df: DataFrame, table: str, run: int, rows: int) -> None:
+        """Write a run of a table in the order of its key, in segments by the key's leading bits."""
+        by, bits = self.BY[table], self._bits(rows)
+        order = [by, *(c for c in df.columns if c.startswith("k") and c[1:].isdigit() and c != by)]
+        seg = F.shiftrightunsigned(by, 64 - bits) if bits else F.lit(0).cast("bigint")
+        spread = df.withColumn("seg", seg)
+        spread = spread.repartitionByRange("seg", by) if bits else spread.coalesce(1)
+        spread.sortWithinPartitions("seg", *order).write.mode("overwrite").partitionBy("seg").parquet(f"{self.path}/{table}/run={run}")
+
+    def _all(self, table: str, runs: list[dict] | None = None) -> DataFrame:
+        kinds = {
+            "keys": "k bigint, key binary, file_id bigint, batch_no int, tokens array<bigint>", "members": "token bigint, cid bigint, n int",
+            "forest": ", ".join(f"k{d} bigint" for d in range(DEPTH)) + ", cid bigint, n int", "crowded": "key bigint, sets bigint",
+        }
+        seg = ", seg bigint" if table in self.BY else ""
+        parts = [self.spark.read.schema(kinds[table] + seg).parquet(f"{self.path}/{table}/run={r['run']}") for r in (self.runs if runs is None else runs)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def _near(self, table: str, wanted: DataFrame, key: str, rows: int) -> DataFrame:
+        """The table's rows in the segments that the wanted keys (column key of rows rows) lie in."""
+        most = max(self._bits(r[table]) for r in self.runs)
+        if not most or rows > MAX_PRUNED:
+            return self._all(table)
+        asked = {r[0] for r in wanted.select(F.shiftrightunsigned(key, 64 - most)).distinct().collect()}  # at most MAX_PRUNED numbers
+        out = None
+        for r in self.runs:
+            own = self._all(table, [r])
+            if bits := self._bits(r[table]):
+                own = own.where(F.col("seg").isin(*{s >> (most - bits) for s in asked}) if asked else F.lit(False))
+            out = own if out is None else out.unionByName(own)
+        return out
+
+    def _find(self, wanted: DataFrame, name: str) -> DataFrame:
+        """Rows of keys with a wanted k."""
+        wanted, rows = counted(wanted, name)
+        return self._near("keys", wanted, "k", rows).join(_few(wanted, rows), "k", "left_semi")
 
     def check(self, chunks: DataFrame, accept: bool = False) -> DataFrame:
-        new = materialize(files(chunks), "files")
-        depth = search_depth()
-        old_files, old_forest, old_sets = (self._read(n) for n in ("files", "forest", "sets"))
-        firsts = new.where("cls is not null and n > 3").groupBy("cls").agg(F.min(F.struct("batch_no", "file_id")).alias("k"))
-        if old_sets is not None:
-            firsts = materialize(firsts, "firsts")
-            known = materialize(old_sets.select("cls").join(_lookup(firsts.select("cls"), "classes"), "cls", "left_semi"), "known")
-            firsts = firsts.join(known, "cls", "left_anti")
-        own_sets = materialize(members(chunks, firsts.select("k.file_id", "k.batch_no", "cls")), "sets")
-        pairs, hot = _range_pairs(forest(own_sets), old_forest, depth)
-        pairs, hot = materialize(pairs, "pairs"), materialize(hot, "hot")
-        sets = own_sets.select("cls", "tokens")
-        if old_sets is not None:
-            wanted = pairs.select(F.col("cls_a").alias("cls")).union(pairs.select(F.col("cls_b").alias("cls"))).union(hot.select("cls")).distinct()
-            sets = sets.unionByName(old_sets.select("cls", "tokens").join(_lookup(wanted, "wanted"), "cls", "left_semi"))
-        if not hot.isEmpty():
-            pairs = pairs.union(_rare_pairs(sets.join(hot, "cls", "left_semi"))).distinct()
-        one_way = verify(pairs, sets)
-        edges = materialize(one_way.union(one_way.select("cls_b", "cls_a")), "edges")
-        touched = None
-        if old_files is not None:
-            classes = new.select("cls").union(edges.select(F.col("cls_b").alias("cls"))).where("cls is not null").distinct()
-            by_cls = old_files.join(_lookup(classes, "classes"), "cls", "left_semi")
-            by_spot = old_files.join(_lookup(new.select("spot").where("spot is not null").distinct(), "spots"), "spot", "left_semi")
-            touched = materialize(by_cls.unionByName(by_spot).distinct(), "touched")
-        states = materialize(_settle(new, edges, touched), "states")
-        found = _repeats(states, edges)
+        """(file_a, file_b): each file of the batch that repeats an accepted one, with every accepted file it repeats, the smaller id first."""
+        return self.check_files(materialize(files(chunks), "files"), accept)
+
+    def candidates(self, sets: DataFrame) -> DataFrame:
+        """(a, b, old): pairs of sets (by cid) to verify; a is of sets, b of sets or, where old is true, of the history."""
+        base, below = search_depth(), _below(sets)
+        crowd = below.select("key").unionByName(_members(sets).select(_member_key().alias("key"))).groupBy("key").agg(F.count("*").alias("sets")).where(F.col("sets") > HOT_RANGE // 8)
+        if self.runs:
+            crowd = crowd.unionByName(self._all("crowded")).groupBy("key").agg(F.sum("sets").alias("sets"))
+        hot, hots = counted(crowd.where(F.col("sets") > HOT_RANGE), "hot")
+        depths = [base]
+        if not hots:
+            targets = probes = below.where(F.col("pos") % DEPTH == base - 1).select("cid", "n", "key")
+            hards = 0
+        else:
+            depths = list(range(1, DEPTH + 1))
+            met = _few(hot.select("key"), hots)
+            flagged = below.join(met, "key", "left_semi").groupBy("cid").agg(F.collect_set("pos").alias("hot"))
+            planned, hards = counted(sets.join(flagged, "cid").select("cid", "n", "tokens", "nodes", _plan("hot").alias("plan")), "planned", F.col("plan")[TREES] == 0)
+            at = planned.select("cid", "n", "nodes", F.posexplode(F.slice("plan", 1, TREES)).alias("tree", "depth")).where("depth > 0")
+            free = below.join(planned.select("cid"), "cid", "left_anti").where(F.col("pos") % DEPTH == base - 1)
+            probes = free.select("cid", "n", "key").unionByName(at.select("cid", "n", F.element_at("nodes", F.col("tree") * DEPTH + F.col("depth").cast("int")).alias("key")))
+            targets = below.join(met, "key", "left_anti").select("cid", "n", "key")
+            hard = planned.where(F.col("plan")[TREES] == 0)
+        probes, rows = counted(probes, "probes")
+        own = lambda p, t, key: p.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), key).join(t.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), key), key).where((F.col("a") != F.col("b")) & _close_in_size(F.col("n_a"), F.col("n_b")))
+        twice = own(probes, probes if not hots else targets, "key").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(False).alias("old"))
+        found = twice if hots else twice.where("a < b")
+        old = lambda p, t, key: own(p, t, key).select("a", "b", F.lit(True).alias("old"))
+        if self.runs:
+            # A path lies in the segment of its first node, whatever the depth that is searched.
+            roots = below.where(F.col("pos") % DEPTH == 0).select("key")
+            near = self._near("forest", roots, "key", rows)
+            flat = near.select("cid", "n", F.explode(F.array(*(f"k{d - 1}" for d in depths))).alias("key"))
+            found = found.unionByName(old(_few(probes, rows), flat, "key"))
+        if hards:
+            num, den = SIMILARITY
+            width = F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)).cast("int") + 1
+            common = hot.select("key", "sets")
+            ranked = hard.select("cid", "n", F.explode("tokens").alias("token")).withColumn("key", _member_key()).join(_few(common, hots), "key", "left")
+            first = ranked.groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("sets", F.lit(0)).alias("sets"), "token"))).alias("t")).select("cid", "n", F.explode(F.slice("t", F.lit(1), width)).alias("m"))
+            rare, rows = counted(first.select("cid", "n", F.col("m.token").alias("token")), "rare")
+            found = found.unionByName(own(_few(rare, rows), _members(sets), "token").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(False).alias("old")))
+            if self.runs:
+                found = found.unionByName(old(_few(rare, rows), self._near("members", rare, "token", rows), "token"))
+        return found.distinct()
+
+    def similar(self, sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Verified pairs: (cls_a, cls_b) within sets, both ways, and (cls, file_id, batch_no) with accepted files."""
+        num, den = SIMILARITY
+        found = materialize(self.candidates(sets), "candidates")
+        own = sets.select("cid", "cls", "tokens")
+        side = lambda df, s: df.select(F.col("cid").alias(s), F.col("cls").alias(f"cls_{s}"), F.col("tokens").alias(f"t_{s}"))
+        common = F.size(F.array_intersect("t_a", "t_b"))
+        alike = common * den >= (F.size("t_a") + F.size("t_b") - common) * num
+        one = found.where("not old").join(side(own, "a"), "a").join(side(own, "b"), "b").where(alike)
+        edges = one.select(F.explode(F.array(F.struct("cls_a", "cls_b"), F.struct(F.col("cls_b").alias("cls_a"), F.col("cls_a").alias("cls_b")))).alias("e")).select("e.*")
+        edges = materialize(edges, "edges")
+        if not self.runs:
+            return edges, None
+        held = self._find(found.where("old").select(F.col("b").alias("k")).distinct(), "asked").where("tokens is not null").select(F.col("k").alias("b"), F.col("tokens").alias("t_b"), "file_id", "batch_no")
+        to_old = found.where("old").join(side(own, "a"), "a").join(held, "b").where(alike)
+        return edges, materialize(to_old.select(F.col("cls_a").alias("cls"), "file_id", "batch_no"), "edges")
+
+    def check_files(self, new: DataFrame, accept: bool = False) -> DataFrame:
+        """check, of files(chunks), which must be written already."""
+        keys = lambda df: df.select(F.explode(F.array("cls", "spot")).alias("key")).where("key is not null")
+        past = None
+        if self.runs:
+            asked = keys(new).select(F.xxhash64("key").alias("k")).distinct()
+            known = materialize(self._find(asked, "asked").select("key", F.col("file_id").alias("a"), F.col("batch_no").alias("a_batch")), "known")
+            by = lambda key: new.select("file_id", "batch_no", F.col(key).alias("key")).join(known, "key")
+            past = by("cls").unionByName(by("spot")).select("file_id", "batch_no", "a")
+            sets = sets_of(new.join(known.select(F.col("key").alias("cls")), "cls", "left_anti").where("tokens is not null"))
+        else:
+            sets = sets_of(new)
+        sets = materialize(sets, "sets")
+        edges, to_old = self.similar(sets)
+        rest = new
+        if past is not None:
+            near = new.select("file_id", "batch_no", "cls").join(to_old.select("cls", F.col("file_id").alias("a")), "cls").select("file_id", "batch_no", "a")
+            past = materialize(past.unionByName(near).distinct(), "past")
+            rest = new.join(past, ["file_id", "batch_no"], "left_anti")
+        states = _undecided(rest.select("file_id", "batch_no", "cls", "spot"), edges)
+        taken = materialize(new.join(states.where("state = 1"), ["file_id", "batch_no"]).select("file_id", "batch_no", "cls", "spot", "n", F.col("tokens").isNotNull().alias("big")), "taken")
+        found = self._repeats(new, taken, edges)
+        if past is not None:
+            found = found.unionByName(past.select(F.least("file_id", "a").alias("file_a"), F.greatest("file_id", "a").alias("file_b"))).distinct()
         if accept:
             found = materialize(found, "repeats")
-            self._add(new, states, own_sets)
+            self._add(taken, sets)
         return found
 
-    def _add(self, new: DataFrame, states: DataFrame, sets: DataFrame) -> None:
-        ids = states.where("state = 1").select("file_id", "batch_no")
-        taken = new.join(ids, ["file_id", "batch_no"], "left_semi")
-        run = max(self._live, default=-1) + 1
-        put = lambda df, name: df.write.mode("overwrite").parquet(f"{self.path}/{name}/run={run}")
-        put(taken.select("file_id", "batch_no", "n", "size", "cls", "spot"), "files")
-        fresh = sets.join(taken.select("cls").distinct(), "cls", "left_semi")
-        prefix = ["tree", *(f"h{i}" for i in range(DEPTH))]
-        put(forest(fresh).repartitionByRange(*prefix).sortWithinPartitions(*prefix), "forest")
-        put(fresh.select("cls", "tokens"), "sets")
-        self._record([*self._live, run])
-
-    def merge(self) -> None:
-        """Rewrite all runs as one, sorted as a whole."""
-        if len(self._live) < 2:
+    @staticmethod
+    def _repeats(new: DataFrame, taken: DataFrame, edges: DataFrame) -> DataFrame:
+        """(file_a, file_b): files of the batch with the accepted ones of the same batch that they repeat."""
+        f = new.select(F.col("file_id").alias("f"), F.struct("batch_no", "file_id").alias("f_at"), "cls", "spot")
+        a = taken.select(F.col("file_id").alias("a"), F.struct("batch_no", "file_id").alias("a_at"), "cls", "spot")
+        same = f.drop("spot").join(a.drop("spot"), "cls")
+        spot = f.drop("cls").join(a.drop("cls"), "spot")
+        near = f.select("f", "f_at", F.col("cls").alias("cls_a")).join(edges, "cls_a").join(a.select("a", "a_at", F.col("cls").alias("cls_b")), "cls_b")
+        pairs = [p.where("a_at < f_at").select("f", "a") for p in (same, spot, near)]
+        return pairs[0].union(pairs[1]).union(pairs[2]).select(F.least("f", "a").alias("file_a"), F.greatest("f", "a").alias("file_b")).distinct()
+
+    def _add(self, taken: DataFrame, sets: DataFrame) -> None:
+        run = max((r["run"] for r in self.runs), default=-1) + 1
+        size = taken.agg(F.count("cls").alias("c"), F.count("spot").alias("s"), F.count_if("big").alias("b"), F.coalesce(F.sum(F.when(F.col("big"), F.col("n"))), F.lit(0)).alias("m")).first()
+        fresh = sets.join(taken.where("big").select("cls"), "cls", "left_semi")
+        tokens = fresh.select("cls", "tokens")
+        key = lambda c, t: taken.where(f"{c} is not null").select(F.xxhash64(c).alias("k"), F.col(c).alias("key"), "file_id", "batch_no", *([] if t else [F.lit(None).cast("array<bigint>").alias("tokens")]), *(["cls"] if t else []))
+        own = key("cls", True).join(tokens, "cls", "left").drop("cls")
+        record = {"run": run, "keys": size["c"] + size["s"], "forest": size["b"] * TREES, "members": size["m"]}
+        self._put(own.unionByName(key("spot", False)), "keys", run, record["keys"])
+        self._put(_rows(fresh), "forest", run, record["forest"])
+        self._put(_members(fresh), "members", run, record["members"])
+        _crowded(_rows(fresh), _members(fresh), HOT_RANGE // 8).write.mode("overwrite").parquet(f"{self.path}/crowded/run={run}")
+        self._record([*self.runs, record])
+        if len(self.runs) > MAX_RUNS:
+            total, first = record["keys"], len(self.runs) - 1
+            while first and self.runs[first - 1]["keys"] <= total:
+                first -= 1
+                total += self.runs[first]["keys"]
+            self.merge(self.runs[first:])
+
+    def merge(self, runs: list[dict] | None = None) -> None:
+        """Rewrite some of the runs, by default all, as one in the order of their keys."""
+        runs = self.runs if runs is None else runs
+        if len(runs) < 2:
             return
-        run = max(self._live) + 1
-        prefix = ["tree", *(f"h{i}" for i in range(DEPTH))]
-        for name in ("files", "forest", "sets"):
-            df = self._read(name)
-            (df.repartitionByRange(*prefix).sortWithinPartitions(*prefix) if name == "forest" else df).write.mode("overwrite").parquet(f"{self.path}/{name}/run={run}")
-        self._record([run])
+        run = max(r["run"] for r in self.runs) + 1
+        record = {"run": run, **{t: sum(r[t] for r in runs) for t in self.BY}}
+        for table in self.BY:
+            self._put(self._all(table, runs).drop("seg"), table, run, record[table])
+        _crowded(self._all("forest", [record]), self._all("members", [record]), HOT_RANGE // 8).write.mode("overwrite").parquet(f"{self.path}/crowded/run={run}")
+        self._record([*(r for r in self.runs if r not in runs), record])
+
 
+def repeats(chunks: DataFrame, first: int = FIRST_BATCHES) -> DataFrame:
+    """(file_a, file_b) of a whole table, as a backfill: its batches in order, against the history of those before.
 
-def repeats(chunks: DataFrame) -> DataFrame:
-    """(file_a, file_b) of a whole table: its batches in order, as one check against an empty history."""
-    return History(chunks.sparkSession).check(chunks)
+    A Spark job for one batch of some hundred chunks costs as much as one for many, so the first check takes first batch
+    numbers together, and each further one as many as lie before it: every check is against a history of its own size or more.
+    The result doesn't depend on first.
+    """
+    spark = chunks.sparkSession
+    # Which check a batch belongs to: 0 up to first, then doubling.
+    ahead = chunks.agg(F.min("batch_no").alias("lo"), F.max("batch_no").alias("hi")).first()
+    if ahead["lo"] is None:
+        return spark.createDataFrame([], "file_a bigint, file_b bigint")
+    ends = [first]
+    while ends[-1] <= ahead["hi"] - ahead["lo"]:
+        ends.append(ends[-1] * 2)
+    at = F.col("batch_no") - ahead["lo"]
+    step = F.lit(len(ends) - 1)
+    for i in range(len(ends) - 2, -1, -1):
+        step = F.when(at < ends[i], i).otherwise(step)
+    path = shared_path(spark, "prepared")
+    files(chunks).withColumn("step", step).write.option("compression", "zstd").partitionBy("step").parquet(path)
+    all_ = spark.read.parquet(path)
+    own, out = History(spark), None
+    for i in range(len(ends)):
+        part = own.check_files(all_.where(F.col("step") == i).drop("step"), accept=True)
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -61,28 +61,82 @@ def case(seed, n=150):
     return rows + rows[:20] + [(None, 1, "a/b", 0, 1, sum_of(1)), (1, None, "a/b", 0, 1, sum_of(1)), (3, 20_000, "q", None, None, sum_of("z")), (3, 20_000, "q", None, None, sum_of("z"))]
 
 
-@pytest.mark.parametrize("hot_range", [200, 1])
+@pytest.mark.parametrize("hot_range", [200, 8, 1])
 def test_against_brute_force(spark, monkeypatch, hot_range):
     monkeypatch.setattr(H, "HOT_RANGE", hot_range)
     for seed in (1, 2):
         rows = case(seed)
-        got = [tuple(r) for r in H.repeats(frame(spark, rows)).collect()]
+        got = [tuple(r) for r in H.repeats(frame(spark, rows), first=3 * seed).collect()]
         assert len(got) == len(set(got)) and set(got) == brute(rows) != set()
 
 
-@pytest.mark.parametrize("most", [500_000, 0])
-def test_batches_against_history(spark, monkeypatch, most):
+@pytest.mark.parametrize("most, hot_range", [(500_000, 200), (0, 200), (500_000, 2)])
+def test_batches_against_history(spark, monkeypatch, most, hot_range):
     monkeypatch.setattr(H, "MAX_LOOKUP", most)
+    monkeypatch.setattr(H, "HOT_RANGE", hot_range)
+    monkeypatch.setattr(H, "SEGMENT_ROWS", 8)
     rows = case(4)
     want, h, got = brute(rows), H.History(spark), set()
     for lo, hi in ((1, 4), (5, 5), (6, 6), (7, 12)):
         got |= {tuple(r) for r in h.check(frame(spark, [r for r in rows if r[0] is not None and lo <= r[0] <= hi]), accept=True).collect()}
         if hi == 5:
             h.merge()
+            assert len(h.runs) == 1
         if hi == 6:
             h = H.History(spark, h.path)
     assert got == want
-    assert h.check(frame(spark, rows).where("false")).collect() == []
+    assert h.check(frame(spark, rows).where("false"), accept=True).collect() == []
+
+
+def test_runs_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(H, "MAX_RUNS", 2)
+    rows = [(b, b * 10 + f, f"p/{b}/{f}", s, 5, sum_of((b, f, s))) for b in range(4) for f in range(3) for s in range(5)]
+    h = H.History(spark)
+    for b in range(4):
+        assert h.check(frame(spark, [r for r in rows if r[0] == b]), accept=True).collect() == []
+    assert len(h.runs) == 2 and sum(r["forest"] for r in h.runs) == 12 * H.TREES == h._all("forest").count()
+    again = [(9, 900 + r[1], None, *r[3:]) for r in rows]
+    assert {tuple(r) for r in h.check(frame(spark, again)).collect()} == {(r[1], 900 + r[1]) for r in rows}
+
+
+def read(df):
+    """Rows that the scans of a plan without exchanges give out."""
+    own = df._jdf.queryExecution()
+    own.toRdd().count()
+    leaves = own.executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().get("numOutputRows").get().value() for i in range(leaves.size()))
+
+
+def test_a_batch_reads_its_segments_only(spark, monkeypatch):
+    """What a batch reads of runs, sets and keys doesn't grow with the history."""
+    monkeypatch.setattr(H, "SEGMENT_ROWS", 64)
+    seen = {}
+    own = H.History._near
+
+    def near(self, table, wanted, key, rows):
+        df = own(self, table, wanted, key, rows)
+        seen[table] = seen.get(table, 0) + read(df)
+        return df
+
+    batch = [(9_000, 9_000_000 + f, f"p/{f}/x", s, 5, sum_of((0, f, s))) for f in range(2) for s in range(6)]
+    amounts = []
+    for files in (500, 4_000):
+        rows = [(1 + f // 100, f, f"p/{f}", s, 5, sum_of((0, f, s))) for f in range(files) for s in range(6)]
+        h = H.History(spark)
+        assert h.check(frame(spark, rows), accept=True).collect() == []
+        seen.clear()
+        with monkeypatch.context() as m:
+            m.setattr(H.History, "_near", near)
+            assert {tuple(r) for r in h.check(frame(spark, batch)).collect()} == {(0, 9_000_000), (1, 9_000_001)}
+        fresh = [(*r[:5], sum_of(("new", *r[:4]))) for r in batch]
+        with monkeypatch.context() as m:
+            m.setattr(H.History, "_near", near)
+            assert h.check(frame(spark, fresh)).collect() == []
+        amounts.append(dict(seen))
+        assert h._all("forest").count() == files * H.TREES
+    # 2 sets of 12 trees lie in at most 24 segments of 32 to 64 rows.
+    assert 0 < amounts[1]["forest"] <= 1.5 * amounts[0]["forest"] < 4_000 * H.TREES / 8
+    assert amounts[1]["keys"] <= 24 * 64
 
 
 def test_hot_group_is_linear(spark):
@@ -90,29 +144,37 @@ def test_hot_group_is_linear(spark):
     assert {tuple(r) for r in H.repeats(frame(spark, rows)).collect()} == {(0, f) for f in range(1, 400)}
 
 
-def test_recall_of_the_forest(spark):
-    """Share of similar sets found by the ranges alone, against all pairs."""
+@pytest.mark.parametrize("hot_range", [200, 6])
+def test_recall_of_the_forest(spark, monkeypatch, hot_range):
+    """Share of similar sets found by ranges (and, with hot nodes, by rarest members), against all pairs."""
+    monkeypatch.setattr(H, "HOT_RANGE", hot_range)
     rnd = random.Random(9)
     sets = []
     for g in range(60):
-        base = [f"{g}-{i}" for i in range(20)]
+        base = [f"{g}-{i}" for i in range(18)] + [f"all-{i}" for i in range(2)]
         sets += [base, base[:18] + [f"{g}-x"], base[1:]]
     rows = [(1, f, None, s, 5, sum_of(t)) for f, own in enumerate(sets) for s, t in enumerate(own)]
     rnd.shuffle(rows)
-    df = frame(spark, rows)
-    own = H.files(df)
-    tokens = H.members(df, own.select("file_id", "batch_no", "cls"))
-    pairs, hot = H._range_pairs(H.forest(tokens), None, H.search_depth())
-    name = {bytes(r.cls): r.file_id for r in own.collect()}
-    got = {tuple(sorted((name[bytes(a)], name[bytes(b)]))) for a, b in pairs.collect()}
+    own = H.files(frame(spark, rows))
+    name = {r.cid: r.file_id for r in own.select(H.F.xxhash64("cls").alias("cid"), "file_id").collect()}
+    found = H.History(spark).candidates(H.sets_of(own)).collect()
+    got = {tuple(sorted((name[r.a], name[r.b]))) for r in found}
     near = {(a, b) for a in range(len(sets)) for b in range(a) if len(set(sets[a]) & set(sets[b])) * 5 >= len(set(sets[a]) | set(sets[b])) * 4}
     near = {tuple(sorted(p)) for p in near}
-    assert hot.count() == 0 and len(got & near) >= 0.99 * len(near) > 0
+    assert len(got & near) >= 0.99 * len(near) > 0 and len(got) < len(sets) ** 2 / 8
 
 
-def test_depth_meets_recall():
+def test_widening_meets_recall():
     d = H.search_depth()
-    assert 1 - (1 - 0.8**d) ** H.TREES >= H.RECALL and (d == H.DEPTH or 1 - (1 - 0.8 ** (d + 1)) ** H.TREES < H.RECALL)
+    miss = lambda depth: (1 - 0.8**depth) ** H.TREES
+    assert miss(d) <= 1 - H.RECALL < miss(d + 1)
+    hot = H.np.zeros((3, H.TREES, H.DEPTH), bool)
+    hot[1, :4, d - 1] = True
+    hot[2, :, :] = True
+    depth, done = H.widened(hot)
+    # Four trees stay a step narrower, for which the others widen; where every node is hot nothing is searched.
+    assert list(done) == [True, True, False] and set(depth[0]) == {d} and set(depth[2]) == {0}
+    assert (depth[1, :4] != d).all() and H.np.where(depth[1] > 0, 1 - 0.8 ** depth[1], 1).prod() <= 1 - H.RECALL
 
 
 def test_places():

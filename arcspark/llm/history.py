@@ -132,10 +132,10 @@ def files(chunks: DataFrame) -> DataFrame:
     nth = F.when(F.col("chunk_seq").isNull(), F.xxhash64("checksum"))
     once = (
         own.select(F.col("file_index").cast("bigint").alias("file_id"), F.col("batch_no").cast("int").alias("batch_no"), "chunk_seq", nth.alias("nth"), F.when(F.col("checksum").isNotNull(), F.xxhash64("checksum")).alias("token"), F.coalesce(F.col("uncompressed_size").cast("bigint"), F.lit(0)).alias("size"), "relative_path")
-        .groupBy("file_id", "batch_no", "chunk_seq", "nth", "token").agg(F.max("size").alias("size"), F.min("relative_path").alias("path"))
+        .groupBy("file_id", "batch_no", "chunk_seq", "nth", "token", "relative_path").agg(F.max("size").alias("size"))
     )
     part = F.struct("chunk_seq", "nth", "size")
-    rows = once.groupBy("file_id", "batch_no").agg(F.sort_array(F.collect_set("token")).alias("tokens"), F.array_sort(F.collect_list(part)).alias("parts"), F.min("path").alias("path"))
+    rows = once.groupBy("file_id", "batch_no").agg(F.sort_array(F.collect_set("token")).alias("tokens"), F.array_sort(F.collect_list(part)).alias("parts"), F.min("relative_path").alias("path"))
     # Of the rows of one chunk the last, and largest, counts.
     last = lambda p, i: ~F.coalesce(F.get("parts", i + 1)["chunk_seq"].eqNullSafe(p["chunk_seq"]) & F.get("parts", i + 1)["nth"].eqNullSafe(p["nth"]) & F.get("parts", i + 1).isNotNull(), F.lit(False))
     size = F.aggregate(F.filter("parts", last), F.lit(0).cast("bigint"), lambda a, p: a + p["size"])
@@ -184,10 +184,19 @@ def _member_key(token: str = "token") -> Column:
     return F.xxhash64(F.lit("member"), token)
 
 
-def _crowded(forest: DataFrame, members: DataFrame, least: int) -> DataFrame:
-    """(key, sets) of nodes and members with more than least sets."""
-    at = forest.select(F.explode(F.array(*(f"k{d}" for d in range(DEPTH)))).alias("key"))
-    return at.unionByName(members.select(_member_key().alias("key"))).groupBy("key").agg(F.count("*").alias("sets")).where(F.col("sets") > least)
+def _crowded(sets: DataFrame, least: int, among: DataFrame | None = None) -> DataFrame:
+    """(key, sets) of members and nodes with more than least sets; among: keys that alone may be so.
+
+    A node has no more sets below it than hold the member it was made of, so only sets with a crowded member have their nodes counted.
+    """
+    flat = sets.select("nodes", F.explode("tokens").alias("token")).select(_member_key().alias("key"), "nodes")
+    more = lambda df: df.groupBy("key").agg(F.count("*").alias("sets")).where(F.col("sets") > least)
+    if among is not None:
+        nodes = sets.select(F.explode("nodes").alias("key"))
+        return more(flat.select("key").unionByName(nodes).join(among, "key", "left_semi"))
+    members = materialize(more(flat.select("key")), "crowded-members")
+    nodes = flat.join(members.select("key"), "key", "left_semi").select("nodes").distinct().select(F.explode("nodes").alias("key"))
+    return members.unionByName(more(nodes))
 
 
 def _rows(sets: DataFrame) -> DataFrame:
@@ -201,18 +210,10 @@ def _members(sets: DataFrame) -> DataFrame:
     return sets.select(F.explode("tokens").alias("token"), "cid", "n")
 
 
-def _undecided(new: DataFrame, edges: DataFrame) -> DataFrame:
-    """(file_id, batch_no, state) of files that the history doesn't repeat: 1 accepted, 2 repeating, by rounds over the states of keys."""
+def _settle(busy: DataFrame, edges: DataFrame) -> DataFrame:
+    """busy (file_id, batch_no, cls, spot, ..., state 0) with state 1 accepted or 2 repeating, by rounds over the states of keys."""
     order = F.struct("batch_no", "file_id")
-    more = lambda key: new.where(f"{key} is not null").groupBy(key).agg(F.count("*").alias("k")).where("k > 1").select(key)
-    linked = more("cls").union(edges.select("cls_a")).distinct().withColumn("c_on", F.lit(True))
-    marked = _with(_with(new, linked, "cls"), more("spot").withColumn("s_on", F.lit(True)), "spot")
-    # A file that shares no key and has no similar set is accepted at once and takes no part in the rounds.
-    state = materialize(
-        marked.select("file_id", "batch_no", F.when(F.col("c_on"), F.col("cls")).alias("cls"), F.when(F.col("s_on"), F.col("spot")).alias("spot"), F.when(F.col("c_on").isNull() & F.col("s_on").isNull(), 1).otherwise(0).alias("state")),
-        "states",
-    )
-    alone, busy = state.where("state = 1"), state.where("state = 0")
+    keep = busy.columns
     old = None
     while True:
         agg = [F.min(F.when(F.col("state") == s, order)).alias(c) for s, c in ((1, "acc"), (0, "und"))]
@@ -223,12 +224,12 @@ def _undecided(new: DataFrame, edges: DataFrame) -> DataFrame:
         acc, und = F.least("c_acc", "n_acc", "s_acc"), F.least("c_und", "n_und", "s_und")
         undecided = F.col("state") == 0
         step = F.when(undecided & F.coalesce(acc < order, F.lit(False)), 2).when(undecided & (und >= order), 1).otherwise(F.col("state"))
-        busy, left = counted(seen.select("file_id", "batch_no", "cls", "spot", step.alias("state")), "states", F.col("state") == 0)
+        busy, left = counted(seen.withColumn("state", step).select(*keep), "states", F.col("state") == 0)
         if old is not None:
             forget(old)
         old = busy
         if not left:
-            return alone.unionByName(busy).select("file_id", "batch_no", "state")
+            return busy
 
 
 class History:
@@ -326,7 +327,8 @@ class History:
     def candidates(self, sets: DataFrame) -> DataFrame:
         """(a, b, old): pairs of sets (by cid) to verify; a is of sets, b of sets or, where old is true, of the history."""
         base, below = search_depth(), _below(sets)
-        crowd = below.select("key").unionByName(_members(sets).select(_member_key().alias("key"))).groupBy("key").agg(F.count("*").alias("sets")).where(F.col("sets") > HOT_RANGE // 8)
+        crowd, rows = counted(_crowded(sets, HOT_RANGE // 8), "crowded")
+        self.crowd = _few(crowd.select("key"), rows)
         if self.runs:
             crowd = crowd.unionByName(self._all("crowded")).groupBy("key").agg(F.sum("sets").alias("sets"))
         hot, hots = counted(crowd.where(F.col("sets") > HOT_RANGE), "hot")
@@ -386,38 +388,48 @@ class History:
 
     def check_files(self, new: DataFrame, accept: bool = False) -> DataFrame:
         """check, of files(chunks), which must be written already."""
-        keys = lambda df: df.select(F.explode(F.array("cls", "spot")).alias("key")).where("key is not null")
-        past = None
+        order = ["file_id", "batch_no"]
+        keys = new.select(F.explode(F.array("cls", "spot")).alias("key")).where("key is not null")
+        past, sets = None, new
         if self.runs:
-            asked = keys(new).select(F.xxhash64("key").alias("k")).distinct()
-            known = materialize(self._find(asked, "asked").select("key", F.col("file_id").alias("a"), F.col("batch_no").alias("a_batch")), "known")
-            by = lambda key: new.select("file_id", "batch_no", F.col(key).alias("key")).join(known, "key")
-            past = by("cls").unionByName(by("spot")).select("file_id", "batch_no", "a")
-            sets = sets_of(new.join(known.select(F.col("key").alias("cls")), "cls", "left_anti").where("tokens is not null"))
-        else:
-            sets = sets_of(new)
-        sets = materialize(sets, "sets")
+            asked = keys.select(F.xxhash64("key").alias("k")).distinct()
+            known, rows = counted(self._find(asked, "asked").select("key", F.col("file_id").alias("a")), "known")
+            known = _few(known, rows)
+            by = lambda key: new.select(*order, F.col(key).alias("key")).join(known, "key")
+            past = by("cls").unionByName(by("spot")).select(*order, "a")
+            sets = new.where("tokens is not null").join(known.select(F.col("key").alias("cls")), "cls", "left_anti")
+        sets = materialize(sets_of(sets), "sets")
         edges, to_old = self.similar(sets)
-        rest = new
+        # A file that shares no key within the batch and has no similar set there is decided at once and takes no part in the rounds.
+        shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key").union(edges.select("cls_a")).distinct()
+        shared, rows = counted(shared, "shared")
+        on = lambda c: _few(shared.select(F.col("key").alias(c), F.lit(True).alias(f"{c}_on")), rows)
+        marked = _with(_with(new.select(*order, "cls", "spot", "n", F.col("tokens").isNotNull().alias("big")), on("cls"), "cls"), on("spot"), "spot")
+        gone = F.lit(False)
         if past is not None:
-            near = new.select("file_id", "batch_no", "cls").join(to_old.select("cls", F.col("file_id").alias("a")), "cls").select("file_id", "batch_no", "a")
-            past = materialize(past.unionByName(near).distinct(), "past")
-            rest = new.join(past, ["file_id", "batch_no"], "left_anti")
-        states = _undecided(rest.select("file_id", "batch_no", "cls", "spot"), edges)
-        taken = materialize(new.join(states.where("state = 1"), ["file_id", "batch_no"]).select("file_id", "batch_no", "cls", "spot", "n", F.col("tokens").isNotNull().alias("big")), "taken")
-        found = self._repeats(new, taken, edges)
+            near = new.select(*order, "cls").where("cls is not null").join(to_old.select("cls", F.col("file_id").alias("a")), "cls").select(*order, "a")
+            past, rows = counted(past.unionByName(near).distinct(), "past")
+            marked = marked.join(_few(past.select(*order).distinct().withColumn("past", F.lit(True)), rows), order, "left")
+            gone = F.col("past").isNotNull()
+        linked = F.col("cls_on").isNotNull() | F.col("spot_on").isNotNull()
+        first = marked.select(*order, "cls", "spot", "n", "big", linked.alias("linked"), F.when(gone, 2).when(linked, 0).otherwise(1).alias("state"))
+        first, open_ = counted(first, "states", F.col("state") == 0)
+        states = first.where("linked and state = 0")
+        if open_:
+            states = _settle(states, edges)
+        found = self._repeats(states.unionByName(first.where("linked and state = 2")), edges)
         if past is not None:
             found = found.unionByName(past.select(F.least("file_id", "a").alias("file_a"), F.greatest("file_id", "a").alias("file_b"))).distinct()
         if accept:
             found = materialize(found, "repeats")
-            self._add(taken, sets)
+            self._add(first.where("state = 1").unionByName(states.where("state = 1")), sets)
         return found
 
     @staticmethod
-    def _repeats(new: DataFrame, taken: DataFrame, edges: DataFrame) -> DataFrame:
+    def _repeats(states: DataFrame, edges: DataFrame) -> DataFrame:
         """(file_a, file_b): files of the batch with the accepted ones of the same batch that they repeat."""
-        f = new.select(F.col("file_id").alias("f"), F.struct("batch_no", "file_id").alias("f_at"), "cls", "spot")
-        a = taken.select(F.col("file_id").alias("a"), F.struct("batch_no", "file_id").alias("a_at"), "cls", "spot")
+        f = states.where("state = 2").select(F.col("file_id").alias("f"), F.struct("batch_no", "file_id").alias("f_at"), "cls", "spot")
+        a = states.where("state = 1").select(F.col("file_id").alias("a"), F.struct("batch_no", "file_id").alias("a_at"), "cls", "spot")
         same = f.drop("spot").join(a.drop("spot"), "cls")
         spot = f.drop("cls").join(a.drop("cls"), "spot")
         near = f.select("f", "f_at", F.col("cls").alias("cls_a")).join(edges, "cls_a").join(a.select("a", "a_at", F.col("cls").alias("cls_b")), "cls_b")
@@ -427,15 +439,16 @@ class History:
     def _add(self, taken: DataFrame, sets: DataFrame) -> None:
         run = max((r["run"] for r in self.runs), default=-1) + 1
         size = taken.agg(F.count("cls").alias("c"), F.count("spot").alias("s"), F.count_if("big").alias("b"), F.coalesce(F.sum(F.when(F.col("big"), F.col("n"))), F.lit(0)).alias("m")).first()
-        fresh = sets.join(taken.where("big").select("cls"), "cls", "left_semi")
-        tokens = fresh.select("cls", "tokens")
-        key = lambda c, t: taken.where(f"{c} is not null").select(F.xxhash64(c).alias("k"), F.col(c).alias("key"), "file_id", "batch_no", *([] if t else [F.lit(None).cast("array<bigint>").alias("tokens")]), *(["cls"] if t else []))
-        own = key("cls", True).join(tokens, "cls", "left").drop("cls")
+        # The accepted sets, each with the one accepted file that has it.
+        fresh = materialize(sets.join(taken.where("big").select("cls", "file_id", "batch_no"), "cls"), "fresh")
+        key = lambda df, c, tokens: df.where(f"{c} is not null").select(F.xxhash64(c).alias("k"), F.col(c).alias("key"), "file_id", "batch_no", tokens.alias("tokens"))
+        none = F.lit(None).cast("array<bigint>")
+        own = key(fresh, "cls", F.col("tokens")).unionByName(key(taken.where("not big"), "cls", none)).unionByName(key(taken, "spot", none))
         record = {"run": run, "keys": size["c"] + size["s"], "forest": size["b"] * TREES, "members": size["m"]}
-        self._put(own.unionByName(key("spot", False)), "keys", run, record["keys"])
+        self._put(own, "keys", run, record["keys"])
         self._put(_rows(fresh), "forest", run, record["forest"])
         self._put(_members(fresh), "members", run, record["members"])
-        _crowded(_rows(fresh), _members(fresh), HOT_RANGE // 8).write.mode("overwrite").parquet(f"{self.path}/crowded/run={run}")
+        _crowded(fresh, HOT_RANGE // 8, self.crowd).write.mode("overwrite").parquet(f"{self.path}/crowded/run={run}")
         self._record([*self.runs, record])
         if len(self.runs) > MAX_RUNS:
             total, first = record["keys"], len(self.runs) - 1
@@ -453,7 +466,13 @@ class History:
         record = {"run": run, **{t: sum(r[t] for r in runs) for t in self.BY}}
         for table in self.BY:
             self._put(self._all(table, runs).drop("seg"), table, run, record[table])
-        _crowded(self._all("forest", [record]), self._all("members", [record]), HOT_RANGE // 8).write.mode("overwrite").parquet(f"{self.path}/crowded/run={run}")
+        # Counted anew: a key may have stayed under the threshold in every run.
+        forest, least = self._all("forest", [record]), HOT_RANGE // 8
+        more = lambda keys: keys.groupBy("key").agg(F.count("*").alias("sets")).where(F.col("sets") > least)
+        roots = materialize(more(forest.select(F.col("k0").alias("key"))), "roots")
+        below = forest.join(roots.select(F.col("key").alias("k0")), "k0", "left_semi").select(F.explode(F.array(*(f"k{d}" for d in range(1, DEPTH)))).alias("key"))
+        crowded = more(self._all("members", [record]).select(_member_key().alias("key"))).unionByName(roots).unionByName(more(below))
+        crowded.write.mode("overwrite").parquet(f"{self.path}/crowded/run={run}")
         self._record([*(r for r in self.runs if r not in runs), record])
 
 

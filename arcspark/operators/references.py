@@ -4,8 +4,8 @@ A split-block Bloom filter of all parent keys is built by bitwise-or aggregates
 broadcast as a table of blocks: a reference whose bits are not all set is a definite
 orphan and leaves the plan there.  Only filter-positive references are joined exactly,
 against the periods in which their key was alive.  The filter is broadcast only while
-its size, known from the number of keys, stays under a limit; beyond it every
-reference takes the exact join, with the same result.
+its size, known from the number of keys, stays under a limit; beyond it references and blocks
+meet by a shuffle on the block, of some 2 bytes a key, and all else is the same.
 
 A period of a key runs from an upload to the first removal at or after it.  Uploads are
 reduced to one row for each key and end of period before anything is joined, so a package
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import counted
 
 #: Keys per block of 4 x 64 bits; about 0.3 % of absent keys pass.
 KEYS_PER_BLOCK = 16
@@ -102,35 +102,33 @@ def bloom_blocks(keys: DataFrame, blocks: int) -> DataFrame:
     return keys.select(block, *(b.alias(f"b{i}") for i, b in enumerate(bits))).groupBy("block").agg(*(F.bit_or(f"b{i}").alias(f"w{i}") for i in range(4)))
 
 
-def with_filter(refs: DataFrame, filter_blocks: DataFrame, blocks: int) -> DataFrame:
-    """refs with column maybe: false proves that no parent has the key."""
+def with_filter(refs: DataFrame, filter_blocks: DataFrame, blocks: int, small: bool = True) -> DataFrame:
+    """refs with column maybe: false proves that no parent has the key.  small: whether the filter may be broadcast."""
     block, bits = _bits(F.col("key"), blocks)
     own = refs.withColumn("block", block)
     hit = F.lit(True)
     for i, b in enumerate(bits):
         hit = hit & (F.col(f"w{i}").bitwiseAND(b) != 0)
-    return own.join(F.broadcast(filter_blocks), "block", "left").withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("block", "w0", "w1", "w2", "w3")
+    return own.join(F.broadcast(filter_blocks) if small else filter_blocks, "block", "left").withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("block", "w0", "w1", "w2", "w3")
 
 
 def orphans(ext: DataFrame, edges: DataFrame, removed: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """(src_table, src_id, ref_no, at, reason) of each reference that doesn't hold when made.
 
-    reason is 'unknown' if nothing was ever alive under the key, else 'not alive'; exact, whether the filter is used or not.
+    reason is 'unknown' if nothing was ever alive under the key, else 'not alive'; exact, whatever the filter's size.
     """
     refs = extension_references(ext).unionByName(edge_references(edges)).select("src_table", "src_id", "ref_no", "at", key_of(F.col("name"), F.col("version")).alias("key"))
-    alive = materialize(alive_periods(ext, removed), "alive-periods")
-    blocks = max(1, alive.count() // KEYS_PER_BLOCK)
+    alive, n = counted(alive_periods(ext, removed), "alive-periods")
+    blocks = max(1, n // KEYS_PER_BLOCK)
     cols = ["src_table", "src_id", "ref_no", "at"]
-    join = lambda r: r.alias("r").join(
-        alive.alias("p"), (F.col("r.key") == F.col("p.key")) & (F.col("r.at") >= F.col("p.since")) & (F.col("r.at") < F.col("p.until")), "left_anti"
-    )
     known = alive.select("key").distinct().withColumn("known", F.lit(True))
-    told = lambda r: r.join(known, "key", "left").select(*cols, F.when(F.col("known"), F.lit("not alive")).otherwise(F.lit("unknown")).alias("reason"))
-    if blocks * 128 > max_filter_bytes:
-        return told(join(refs))
-    probed = with_filter(refs, bloom_blocks(alive, blocks), blocks)
+    probed = with_filter(refs, bloom_blocks(alive, blocks), blocks, blocks * 128 <= max_filter_bytes)
     surely = probed.where("not maybe").select(*cols, F.lit("unknown").alias("reason"))
-    return surely.unionByName(told(join(probed.where("maybe"))))
+    fallen = probed.where("maybe").alias("r").join(
+        alive.alias("p"), (F.col("r.key") == F.col("p.key")) & (F.col("r.at") >= F.col("p.since")) & (F.col("r.at") < F.col("p.until")), "left_anti"
+    )
+    told = fallen.join(known, "key", "left").select(*cols, F.when(F.col("known"), F.lit("not alive")).otherwise(F.lit("unknown")).alias("reason"))
+    return surely.unionByName(told)
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -81,8 +81,9 @@ def test_removal_at_the_same_time_counts(spark):
 def test_filter_has_no_false_negative(spark):
     keys = spark.range(5000).selectExpr("concat('k', id) as key")
     for blocks in (1, 7, 400):
-        probed = R.with_filter(keys, R.bloom_blocks(keys, blocks), blocks)
-        assert probed.where("not maybe").count() == 0
+        for small in (True, False):
+            probed = R.with_filter(keys, R.bloom_blocks(keys, blocks), blocks, small)
+            assert probed.where("not maybe").count() == 0
     others = spark.range(5000).selectExpr("concat('other', id) as key")
     assert R.with_filter(others, R.bloom_blocks(keys, 313), 313).where("maybe").count() < 100
 

@@ -8,6 +8,10 @@ mergeable, so each task sends at most BINS numbers for each key and rank, whatev
 number of rows, and a hot key is spread over as many tasks as its rows.  A range of
 2**63 integers closes in 8 rounds, one of 2**24 in 3.
 
+Heavy keys are selected the same way, without a sum for every key: rows are ordered by a hash of their key and weighted, and a key
+with 1/25 of the whole weight or more takes up one of the ranks 1/25, 2/25, ... of the whole.  So the values at these 25 ranks
+name all keys that can be heavy, and exact sums of these few decide.
+
 Defined results: a null package type counts as 0 and a null repository as '' (both mean
 untyped); null values take part in rows but neither in sums nor in quantiles, a key with null values
 only has null quantiles; the quantile q is the value of rank ceil(q * n), the lowest for q
@@ -44,9 +48,9 @@ def chunks(index: DataFrame) -> DataFrame:
     return index.select(*typed_key(index), "batch_no", "file_index", "chunk_seq", F.col("uncompressed_size").cast("bigint").alias("uncompressed_size")).groupBy(*KEY, "batch_no", "file_index", "chunk_seq").agg(F.max("uncompressed_size").alias("uncompressed_size"))
 
 
-def totals(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Round 0: rows, non-null values, sum and bounds of each key; all of them mergeable."""
-    return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.count(value).alias("n"), F.sum(value).alias("total"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+def totals(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """Round 0: rows, non-null values (or their weight), sum and bounds of each key; all of them mergeable."""
+    return df.groupBy(*keys).agg(F.count("*").alias("rows"), (F.sum(F.when(F.col(value).isNotNull(), F.col(weight))) if weight else F.count(value)).alias("n"), F.sum(value).alias("total"), F.min(value).alias("lo"), F.max(value).alias("hi"))
 
 
 def _meet(values: DataFrame, spans: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,24 +63,32 @@ def _meet(values: DataFrame, spans: DataFrame, base: DataFrame, keys: list[str])
     return values.join(big, keys).unionByName(values.join(F.broadcast(heavy), keys, "left_anti").join(rest, keys))
 
 
-def select_ranks(df: DataFrame, keys: list[str], value: str, base: DataFrame, quantiles: tuple[float, ...] = QUANTILES, bins: int = BINS) -> DataFrame:
+def select_ranks(df: DataFrame, keys: list[str], value: str, base: DataFrame, quantiles: tuple[float, ...] = QUANTILES, bins: int = BINS, weight: str | None = None, parts: int | None = None) -> DataFrame:
     """(keys..., q, result): exact quantiles of integer values by refining histograms.
 
-    base holds n, lo and hi of each key.  All state is one row for each key and quantile.
+    base holds n, lo and hi of each key.  All state is one row for each key and quantile.  weight: a column of integers from 0 on, so
+    often a row counts; parts: the quantiles are 1/parts, 2/parts, ..., 1, their ranks found in integers.
     """
-    rank = F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("n"))).cast("bigint")
+    dec = "decimal(38,0)"
+    if parts:
+        quantiles = tuple(float(k) for k in range(1, parts + 1))
+        rank = F.ceil(F.col("q").cast("int").cast(dec) * F.col("n").cast(dec) / F.lit(parts)).cast("bigint")
+    else:
+        rank = F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("n"))).cast("bigint")
     open_ = base.where("n > 0").select(*keys, "n", "lo", "hi", F.explode(F.array(*(F.lit(float(q)) for q in quantiles))).alias("q")).select(*keys, "q", rank.alias("rank"), "lo", "hi")
     state = materialize(open_, "ranks")
-    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("value"))
+    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("value"), (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("weight"))
+    if weight:
+        values = values.where("weight > 0")
     dec = "decimal(20,0)"
     while not state.where("lo < hi").isEmpty():
         todo = state.where("lo < hi")
         # Ranks of a key that share a range are counted together.
         ranges = todo.select(*keys, "lo", "hi").distinct().withColumn("width", F.ceil((F.col("hi").cast(dec) - F.col("lo").cast(dec) + 1) / F.lit(bins)).cast(dec))
         spans = ranges.groupBy(*keys).agg(F.collect_list(F.struct("lo", "hi", "width")).alias("spans"))  # at most one for each quantile
-        placed = _meet(values, spans, base, keys).select(*keys, "value", F.explode("spans").alias("s")).where("value between s.lo and s.hi")
+        placed = _meet(values, spans, base, keys).select(*keys, "value", "weight", F.explode("spans").alias("s")).where("value between s.lo and s.hi")
         bin_ = F.floor((F.col("value").cast(dec) - F.col("s.lo").cast(dec)) / F.col("s.width")).cast("int")
-        counted = placed.groupBy(*keys, F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"), F.col("s.width").alias("width"), bin_.alias("bin")).agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+        counted = placed.groupBy(*keys, F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"), F.col("s.width").alias("width"), bin_.alias("bin")).agg(F.sum("weight").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
         hist = counted.groupBy(*keys, "lo", "hi").agg(F.array_sort(F.collect_list(F.struct("bin", "n", "least", "most"))).alias("hist"))  # at most BINS entries
         walk = F.aggregate(
             "hist",
@@ -108,10 +120,15 @@ def profile(df: DataFrame, keys: list[str], value: str, quantiles: tuple[float,
     return out.select(*keys, "rows", "n", "total", F.col("lo").alias("least"), F.col("hi").alias("most"), share.alias("share"), heavy.alias("is_heavy"), *cols.values())
 
 
-def heavy_keys(manifest: DataFrame) -> DataFrame:
-    """(pkg_type, repo) of each key with at least 4 % of all index rows; sums decide it, no quantile is selected."""
-    found = profile(materialize(entries(manifest), "entries"), KEY, "row_count", ())
-    return found.where("is_heavy").select(*KEY)
+def heavy_keys(manifest: DataFrame, parts: int = 25) -> DataFrame:
+    """(pkg_type, repo) of each key with at least 1/parts of all index rows; null and negative row counts are 0, and without any index row no key is heavy."""
+    n = F.greatest(F.coalesce("row_count", F.lit(0)), F.lit(0))
+    own = materialize(entries(manifest).select(*KEY, n.alias("n"), F.xxhash64(*KEY).alias("h"), F.lit(0).alias("whole")).where("n > 0"), "entries")
+    base = materialize(totals(own, ["whole"], "h", "n").select("whole", "n", "lo", "hi"), "totals")
+    picked = select_ranks(own, ["whole"], "h", base, weight="n", parts=parts).select(F.col("result").alias("h")).distinct()  # at most parts rows
+    sums = own.join(F.broadcast(picked), "h", "left_semi").groupBy(*KEY).agg(F.sum("n").alias("total"))
+    whole = base.agg(F.sum("n")).first()[0] or 0
+    return sums.where(F.col("total").cast("decimal(38,0)") * parts >= F.lit(whole)).select(*KEY)
 
 
 def key_results(manifest: DataFrame, index: DataFrame) -> DataFrame:

@@ -38,7 +38,15 @@ def test_key_results(spark):
     assert H.key_results(man.where("false"), index.where("false")).collect() == []
 
 
-def test_heavy_keys_select_no_quantiles(spark, monkeypatch):
-    monkeypatch.setattr(H, "select_ranks", lambda *a: pytest.fail("the 4 % rule needs sums only"))
-    df = spark.createDataFrame([(1, 1, 1, "r", None, 0, 9, 96, 1, "z"), (2, 1, 2, "q", None, 0, 9, 3, 1, "z")], MAN)
-    assert [tuple(r) for r in H.heavy_keys(df).collect()] == [(1, "r")]
+def test_heavy_keys_by_ranks(spark):
+    """Against sums of all keys, with keys at the very threshold and ones just under it."""
+    rnd = random.Random(7)
+    for total in (100, 2_500, 10_007):
+        weights, left = [], total
+        while left > 0:
+            w = min(left, rnd.choice([total // 25, -(-total // 25), total // 25 - 1, 1, 3, total // 9]))
+            weights.append(w)
+            left -= w
+        rows = [(i, 1, 1, f"r{k}", None, i, 9, part, 1, "z") for i, (k, part) in enumerate((k, p) for k, w in enumerate(weights) for p in (w // 2, w - w // 2))]
+        got = {r.repo for r in H.heavy_keys(spark.createDataFrame(rows, MAN).repartition(3)).collect()}
+        assert got == {f"r{k}" for k, w in enumerate(weights) if w * 25 >= total} != set()

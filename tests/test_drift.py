@@ -27,6 +27,9 @@ def brute(rows):
             continue
         own = files.setdefault((s, f), {})
         for _, path, tag, *_, text in leaves:
+            if tag == "object":
+                continue
+            tag = "number" if tag == "integer" else tag
             kinds, values = own.setdefault(path, (collections.Counter(), set()))
             if text is not None:
                 kinds[tag] += 1
@@ -89,7 +92,7 @@ def test_defined_cases(spark):
 def test_odd_values():
     leaf = {(e, p): rest for e, p, *rest in drift.leaf_values('{"a": "\\ud800", "b": [], "c": [[{"d": 1}]], "e": 1e400, "f": ' + "9" * 400 + "}")}
     assert leaf["", "a"][1] == "?" and leaf["", "b"][0] == "array" and ("0.0", "c.d") in leaf
-    assert leaf["", "f"][0] == "number" and leaf["", "f"][2] is None
+    assert leaf["", "f"][0] == "integer" and leaf["", "f"][2] is None and leaf["0.0", "c"][0] == "object"
     assert drift.leaf_values("[" * 100_000) == [] and drift.leaf_values("1") == []
 
 
@@ -104,11 +107,35 @@ def test_records_are_one_table(spark):
     got = {(r.series, r.file_seq, r.entry, r.field, r.source_field, r.tag, r.canonical_value) for r in long.collect()}
     # As many numbers as strings under 'cores': the last in order of the two types holds.
     assert got == {
-        ("s", 1, "", "cores", "cores", "number", "8"), ("s", 2, "", "cores", "n_cores", "string", "8"), ("t", 1, "", "cores", "cores", "number", "4"), ("t", 2, "", "cores", "cores", "string", "many"),
-        ("s", 1, "0", "results.files", "results.files", "number", "1"), ("s", 1, "1", "results.files", "results.files", "number", "2"), ("s", 2, "0", "results.files", "results.files", "string", "3"),
+        ("s", 1, "", "cores", "cores", "integer", "8"), ("s", 2, "", "cores", "n_cores", "string", "8"), ("t", 1, "", "cores", "cores", "integer", "4"), ("t", 2, "", "cores", "cores", "string", "many"),
+        ("s", 1, "0", "results.files", "results.files", "integer", "1"), ("s", 1, "1", "results.files", "results.files", "integer", "2"), ("s", 2, "0", "results.files", "results.files", "string", "3"),
+        ("s", 1, "0", "results", "results", "object", None), ("s", 1, "1", "results", "results", "object", None), ("s", 2, "0", "results", "results", "object", None),
     }
     wide = drift.wide(long, {"cores": "cores", "files": "results.files"})
-    assert wide.columns[-2:] == ["cores", "files"] and wide.where(F.col("files") == "3").count() == 1
+    # What stands beside a list holds for its entries.
+    assert {(r.series, r.file_seq, r.entry, r.cores, r.files) for r in wide.collect()} == {("s", 1, "0", "8", "1"), ("s", 1, "1", "8", "2"), ("s", 2, "0", "8", "3"), ("t", 1, "", "4", None), ("t", 2, "", "many", None)}
+
+
+def test_values_carried_down_and_kept_exactly(spark):
+    rows = [("s", 1, 1, '{"v": 9007199254740993, "r": [{"a": 1.5, "q": [{"b": 1}, {"b": 2}]}, {"a": null}], "o": {}}'), ("s", 2, 1, '{"v": {"w": 77}}')]
+    long = drift.records(frame(spark, rows))
+    exact = long.where("field = 'v' and tag = 'integer'").first()
+    assert str(exact.integer_value) == "9007199254740993" and exact.number_value is None
+    kinds = {(r.field, r.tag, r.first_file) for r in drift.alternatives(long).collect()}
+    assert {("v", "integer", 1), ("v", "object", 2), ("o", "object", 1), ("r.a", "number", 1), ("r.a", "null", 1)} <= kinds
+    got = {(r.file_seq, r.entry, r.v, r.a, r.b) for r in drift.wide(long, {"v": "v", "a": "r.a", "b": "r.q.b"}).collect()}
+    v = "9007199254740993"
+    assert got == {(1, "0.0", v, "1.5", "1"), (1, "0.1", v, "1.5", "2"), (1, "1", v, None, None), (2, "", None, None, None)}
+
+
+def test_lines_loaded_again(spark, monkeypatch):
+    rows = [("s", 1, n % 3 if n % 4 else None, f'{{"a": {n}}}') for n in range(12)] + [("s", 2, 1, '{"b": 1}')]
+    want = brute(rows)
+    for most in (200_000, 0):
+        monkeypatch.setattr(drift, "MAX_LOOKUP", most)
+        assert found(frame(spark, rows)) == want
+        once = drift.lines_once(frame(spark, rows)).collect()
+        assert sorted((r.file_seq, r.line_no, r.line_id) for r in once if r.line_no is not None) == [(1, 0, 3), (1, 1, 1), (1, 2, 2), (2, 1, 12)] and len(once) == 7
 
 
 def test_runs_keep_a_field_whose_new_name_prevails(spark, tmp_path):

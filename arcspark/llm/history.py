@@ -55,13 +55,14 @@ HOT_RANGE = 200
 #: A batch's keys are broadcast to the history up to so many rows (of some 60 bytes each).
 MAX_LOOKUP = 500_000
 #: Rows of a segment, on average, and the largest number of leading bits that tell segments apart.
-SEGMENT_ROWS = 1 << 16
+SEGMENT_ROWS = 1 << 19
 MAX_BITS = 16
 #: A batch with more keys than this reads all segments.
 MAX_PRUNED = 10_000
 MAX_RUNS = 4
-#: A backfill checks so many batches at once, then as many as the history holds.
-FIRST_BATCHES = 256
+#: A backfill checks so many batches at once, and each time after that up to so many times what lies before.
+FIRST_BATCHES = 128
+GROWTH = 4
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -480,17 +481,18 @@ def repeats(chunks: DataFrame, first: int = FIRST_BATCHES) -> DataFrame:
     """(file_a, file_b) of a whole table, as a backfill: its batches in order, against the history of those before.
 
     A Spark job for one batch of some hundred chunks costs as much as one for many, so the first check takes first batch
-    numbers together, and each further one as many as lie before it: every check is against a history of its own size or more.
-    The result doesn't depend on first.
+    numbers together, and each further one GROWTH - 1 times as many as lie before it: a check's history is never much smaller than
+    the batches it takes, so reading the history costs no more than these do, and there are about log(batches) checks.
+    The result doesn't depend on either number.
     """
     spark = chunks.sparkSession
-    # Which check a batch belongs to: 0 up to first, then doubling.
+    # Which check a batch belongs to: 0 up to first, then growing.
     ahead = chunks.agg(F.min("batch_no").alias("lo"), F.max("batch_no").alias("hi")).first()
     if ahead["lo"] is None:
         return spark.createDataFrame([], "file_a bigint, file_b bigint")
     ends = [first]
     while ends[-1] <= ahead["hi"] - ahead["lo"]:
-        ends.append(ends[-1] * 2)
+        ends.append(ends[-1] * GROWTH)
     at = F.col("batch_no") - ahead["lo"]
     step = F.lit(len(ends) - 1)
     for i in range(len(ends) - 2, -1, -1):

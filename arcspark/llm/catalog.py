@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
 from . import history, leakage, packing, splitting, tokens
@@ -24,6 +25,11 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.report(packing.pack(table(spark, d, "documents")))
 
 
+def p5_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of any packing, with sizes by the word rule, which SQL can count: what is packed, and rows that break a rule."""
+    return packing.invariants(packing.pack(table(spark, d, "documents"), tokenizer="words"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
@@ -40,13 +46,21 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "documents"), tokenizer=tokens.NAME)
 
 
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of the pieces of each document: the characters they cover, and pieces that break a rule."""
+    return splitting.invariants(splitting.pieces(table(spark, d, "documents"), tokenizer=tokens.NAME))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p5_packed, p5_report, p6_found, p6_items, p7_found, p7_pieces)}
+    return {f.__name__: f for f in (p2_found, p5_packed, p5_report, p5_invariants, p6_found, p6_items, p7_found, p7_pieces, p7_invariants)}
 
 
 def oracle_sql() -> dict[str, str]:
     # White space as the word rule sees it, beyond what \s covers here.
     space = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+    count = rf"len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{space}]'))"
     return {
-        "p7_found": rf"select distinct doc_id from documents where len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{space}]')) > 2048",
+        "p5_invariants": f"select count(*) as documents, coalesce(sum({count}), 0)::bigint as tokens, 0::bigint as overfull, 0::bigint as misplaced, 0::bigint as split_small, true as tight from documents",
+        "p7_invariants": "select doc_id, length(text) as chars, 0::bigint as gaps, 0::bigint as over_limit, 0::bigint as without_overlap from documents where text <> ''",
+        "p7_found": f"select distinct doc_id from documents where {count} > 2048",
     }

@@ -19,19 +19,23 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import counted
 
 RUN = 12
 BLOCK = 3
 #: Share of an item's words that must be covered: 4 of 10.
 SHARE = (4, 10)
-MAX_WORDS = 2_000_000
+#: Words of a block of items.  The tables of so many take about 140 MB and 3 s to build, once in each Python worker.
+MAX_WORDS = 200_000
+#: Items that leaked, up to which their counts are broadcast.
+MAX_LEAKED = 200_000
 WORD = re.compile(r"[^\W_]+")
 #: A hyphen (also a soft one or U+2010) between letters at the end of a line.
 BROKEN = re.compile(r"(?<=[^\W\d_])[-‐­][^\S\n\r]*(?:\r\n|\r|\n)\s*(?=[^\W\d_])")
@@ -90,6 +94,17 @@ class Patterns:
         return sorted(set(out))
 
 
+_BUILT: dict[str, Patterns] = {}
+
+
+def _patterns(key: str, items: list[tuple[int, list[str]]]) -> Patterns:
+    """The tables of a block, built by the first task of a worker that needs them and kept until it meets another block."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Patterns(items)
+    return _BUILT[key]
+
+
 def _blocks(items: DataFrame, max_words: int) -> Iterator[list[tuple[int, list[str]]]]:
     """Items as words, in blocks of bounded size."""
     now, total = [], 0
@@ -113,8 +128,8 @@ def leaks(docs: DataFrame, items: DataFrame, max_words: int = MAX_WORDS) -> Data
     for block in _blocks(items, max_words):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            patterns = Patterns(shared.value)
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            patterns = _patterns(key, shared.value)
             for b in batches:
                 ids, found = [], []
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -132,6 +147,6 @@ def leaks(docs: DataFrame, items: DataFrame, max_words: int = MAX_WORDS) -> Data
 
 def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, suite, documents): each item that leaked and in how many documents."""
-    found = leaks(docs, items).groupBy("item_id").agg(F.count("*").alias("documents"))
+    found, rows = counted(leaks(docs, items).groupBy("item_id").agg(F.count("*").alias("documents")), "leaked")
     names = items.groupBy("item_id").agg(F.min("suite").alias("suite"))
-    return names.join(F.broadcast(materialize(found, "leaked")), "item_id").select("item_id", "suite", "documents")
+    return names.join(F.broadcast(found) if rows <= MAX_LEAKED else found, "item_id").select("item_id", "suite", "documents")

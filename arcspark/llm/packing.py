@@ -14,7 +14,7 @@ so a size that most documents share is spread over as many tasks as there are sa
 Defined results: a document larger than the capacity is split into pieces of the capacity, which fill a
 container each, and a rest that is packed like a document; only such documents are split.  A null or empty
 text has size 0 and takes no room: such documents share container 0 after its content.  Rows
-with equal or null doc_id are documents of their own; equal sizes are placed by doc_id.
+with equal or null doc_id are documents of their own; equal sizes are placed by salt, a hash of doc_id and size, and then by doc_id.
 """
 
 from __future__ import annotations
@@ -139,7 +139,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = T.NAME, fol
     # A salt's starts travel ahead of its documents, so that one shuffle brings both together.
     heads = of_size.join(of_salt, "salt").select("salt", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("doc_id"), "size", F.col("first").alias("a"), F.col("full_first").alias("b"))
     own = rest.select("salt", F.lit(1).alias("kind"), "doc_id", "size", F.col("full").alias("a"), F.lit(0).cast("bigint").alias("b"))
-    lined = heads.unionByName(own).repartition(salts, "salt").sortWithinPartitions("salt", "kind", "doc_id")
+    # By range, salts spread evenly over tasks, which a hash of so few numbers would not do.
+    lined = heads.unionByName(own).repartitionByRange(salts, "salt").sortWithinPartitions("salt", "kind", "doc_id")
     return lined.mapInArrow(_placer(docs.sparkSession, table, capacity), PLACED)
 
 
@@ -212,3 +213,23 @@ def report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return packed.agg((F.coalesce(F.max("container"), F.lit(-1)) + 1).alias("containers"), F.coalesce(F.sum("size"), F.lit(0)).alias("tokens")).select(
         "containers", "tokens", (F.col("containers") * capacity - F.col("tokens")).alias("unused"), (F.col("tokens") / F.greatest(F.col("containers") * capacity, F.lit(1))).alias("filled_share")
     )
+
+
+def invariants(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(documents, tokens, overfull, misplaced, split_small, tight) of a packing, one row.
+
+    documents counts first pieces and empty documents; overfull: containers over the capacity; misplaced: rows that don't begin where the one
+    before them in the container ends; split_small: rows of a piece under the capacity that isn't its document's last; tight: whether at most 1 %
+    and one container more than the tokens need are used.  doc_ids must be unique.
+    """
+    at = Window.partitionBy("container").orderBy("token_offset", "place")
+    lined = packed.where("size > 0").withColumns({"before": F.lag(F.col("token_offset") + F.col("size"), 1, 0).over(at), "nth": F.row_number().over(at) - 1})
+    # Empty documents share one container, so their rows are left out of the order.
+    full = lined.groupBy("container").agg(F.sum("size").alias("size"), F.count_if((F.col("token_offset") != F.col("before")) | (F.col("place") != F.col("nth"))).alias("wrong"))
+    held = full.agg(F.count_if(F.col("size") > capacity).alias("overfull"), F.coalesce(F.sum("wrong"), F.lit(0)).alias("misplaced"), F.count("*").alias("containers"))
+    rows = packed.agg(F.count_if(F.col("piece") == 0).alias("documents"), F.coalesce(F.sum("size"), F.lit(0)).alias("tokens"), F.count_if((F.col("piece") > 0) & (F.col("size") > capacity)).alias("over"))
+    last = packed.where("doc_id is not null").groupBy("doc_id").agg(F.max("piece").alias("last"))
+    small = packed.join(last.where("last > 0"), "doc_id").agg(F.count_if((F.col("piece") < F.col("last")) & (F.col("size") != capacity)).alias("split_small"))
+    one = lambda df: df.withColumn("one", F.lit(1))
+    need = F.ceil(F.col("tokens") / capacity)
+    return one(rows).join(one(held), "one").join(one(small), "one").select("documents", "tokens", "overfull", "misplaced", "split_small", (F.col("containers") <= need * 1.01 + 1).alias("tight"))

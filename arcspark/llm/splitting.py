@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens as T
@@ -125,9 +125,9 @@ def cut_batch(texts: list[str | None], limit: int = LIMIT, overlap: int = OVERLA
         total += len(s) + 1
     if rows:
         found = cuts(np.concatenate(steps), np.array(base))
-        of = np.searchsorted(np.array(base), found, side="right") - 1
+        own_cuts = np.split(found, np.searchsorted(found, base[1:]))
         for k, row in enumerate(rows):
-            at = found[of == k] - base[k]
+            at = own_cuts[k] - base[k]
             s, text = starts[k], texts[row]
             for piece, (a, b) in enumerate(zip(at, at[1:])):
                 begin = first[k][a]
@@ -159,3 +159,17 @@ def pieces(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, tokenize
 def oversized(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(doc_id) of each document that must be cut, from its pieces."""
     return pieces(docs, limit, OVERLAP, "words", with_text=False).where("piece = 1").select("doc_id").distinct()
+
+
+def invariants(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(doc_id, chars, gaps, over_limit, without_overlap): characters the pieces of a document cover, and pieces that break a rule.
+
+    gaps: pieces that begin beyond the end of the one before, or that don't move on; without_overlap: pieces that don't begin before that end.
+    The pieces of one document lie in one window; doc_ids must be unique.
+    """
+    at = Window.partitionBy("doc_id").orderBy("piece")
+    lined = pieces.withColumns({"end_before": F.lag("end_char").over(at), "start_before": F.lag("start_char").over(at)})
+    later = F.col("end_before").isNotNull()
+    broken = F.when(later, (F.col("start_char") > F.col("end_before")) | (F.col("start_char") <= F.col("start_before")) | (F.col("end_char") <= F.col("end_before"))).otherwise(F.col("start_char") != 0)
+    fresh = F.col("end_char") - F.coalesce("end_before", F.lit(0))
+    return lined.groupBy("doc_id").agg(F.sum(fresh).alias("chars"), F.count_if(broken).alias("gaps"), F.count_if(F.col("tokens") > limit).alias("over_limit"), F.count_if(later & (F.col("start_char") >= F.col("end_before"))).alias("without_overlap"))

@@ -15,4 +15,6 @@ def test_query(spark, data, con, name):
     if name in catalog.oracle_sql():
         check(con, df, catalog.oracle_sql()[name])
     else:
-        assert df.count() > 0
+        # What has no SQL is compared with brute force in its operator's own tests; here its rows must be whole.
+        rows = [tuple(r) for r in df.collect()]
+        assert rows and not any(v is None for r in rows for v in r[1:]) and len(rows) == len(set(rows))

@@ -7,13 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import counted, shared_path
 from .ingest import positions
 
 BLOCK = 1024
 NODE = 0
 #: Largest zone map to broadcast, in rows; beyond it the blocks meet by a shuffle join.
 MAX_BLOCKS = 1_000_000
+#: Ranges of blocks that a pruned scan asks for; kept blocks that lie nearest each other share one.
+MAX_RANGES = 128
 
 
 @dataclass(frozen=True)
@@ -68,10 +70,31 @@ def filter_scan(elements: DataFrame, f: Filter) -> DataFrame:
     return elements.where(f.matches())
 
 
-def filter_pruned(numbered: DataFrame, zones: DataFrame, f: Filter) -> DataFrame:
-    """The same rows as filter_scan, reading only blocks whose summary may match."""
-    keep = materialize(zones.where(f.might_match()).select("block_id"), "blocks")
-    return numbered.join(F.broadcast(keep) if keep.count() <= MAX_BLOCKS else keep, "block_id", "left_semi").where(f.matches())
+def store(numbered: DataFrame, path: str | None = None, block: int = BLOCK) -> DataFrame:
+    """Numbered elements written in file order, a Parquet page for each block, so that a range of blocks can be read alone."""
+    path = path or shared_path(numbered.sparkSession, "elements")
+    lined = numbered.repartitionByRange("block_id").sortWithinPartitions("elem_pos")
+    lined.write.option("parquet.page.row.count.limit", block).option("parquet.block.size", 16 << 20).parquet(path)
+    return numbered.sparkSession.read.schema(numbered.schema).parquet(path)
+
+
+def filter_pruned(stored: DataFrame, zones: DataFrame, f: Filter) -> DataFrame:
+    """The same rows as filter_scan.  Of elements in a table made by store, only pages of blocks whose summary may match are read: the
+    scan gets up to MAX_RANGES ranges of blocks as its filter.  Blocks inside a range that can't match meet by a semi join after it.
+    """
+    keep, n = counted(zones.where(f.might_match()).select("block_id"), "blocks")
+    if not n:
+        return stored.where(F.lit(False))
+    lo, hi = keep.agg(F.min("block_id"), F.max("block_id")).first()
+    width = max(1, -(-(hi - lo + 1) // MAX_RANGES))
+    spans = keep.groupBy(F.floor((F.col("block_id") - lo) / width)).agg(F.min("block_id"), F.max("block_id")).collect()  # at most MAX_RANGES rows
+    test = F.lit(False)
+    for _, a, b in spans:
+        test = test | F.col("block_id").between(a, b)
+    rows = stored.where(test)
+    if sum(b - a + 1 for _, a, b in spans) > n:
+        rows = rows.join(F.broadcast(keep) if n <= MAX_BLOCKS else keep, "block_id", "left_semi")
+    return rows.where(f.matches())
 
 
 def counts(elements: DataFrame) -> DataFrame:

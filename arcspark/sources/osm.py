@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schema import ELEMENT
@@ -130,15 +132,15 @@ class ElementReader(DataSourceReader):
         own = span.end - span.begin
         # A range that begins inside an element starts at the next one; the one before it is finished by its own range.
         begin = next_start(data, 0, self.strict) if span.begin else 0
-        rows = []
-        for row in scan(data, begin, own, span.begin, self.strict):
-            if not whole_file and row[0] - span.begin + row[1] >= len(data):
-                raise ValueError(f"element at {row[0]} of {span.path} is longer than the margin of {self.margin} bytes")
-            rows.append(row)
         names = [x.split()[0] for x in ELEMENT.split(", ")]
         kinds = [pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-        cols = list(zip(*rows)) or [()] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array([span.path] * len(rows), pa.string()), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["path", *names])
+        found = scan(data, begin, own, span.begin, self.strict)
+        # Rows leave in batches, so a task holds the bytes of its range and the rows of one batch.
+        while rows := list(islice(found, 10_000)):
+            for row in rows:
+                if not whole_file and row[0] - span.begin + row[1] >= len(data):
+                    raise ValueError(f"element at {row[0]} of {span.path} is longer than the margin of {self.margin} bytes")
+            yield pa.RecordBatch.from_arrays([pa.array([span.path] * len(rows), pa.string()), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["path", *names])
 
 
 class Elements(DataSource):
@@ -155,6 +157,36 @@ class Elements(DataSource):
         return ElementReader(self.options)
 
 
+def sliced(elements: DataFrame) -> DataFrame:
+    """Elements (path, file_offset, file_length, ...) with column xml, their bytes; one whose slice leaves its file is dropped.
+
+    Files are read by position on the executors, a batch's in order of path and offset.
+    """
+    schema = elements.withColumn("xml", F.lit(b"")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            path, at, n = (b.column(c).to_pylist() for c in ("path", "file_offset", "file_length"))
+            out: list[bytes | None] = [None] * b.num_rows
+            now, f = None, None
+            for i in sorted(range(b.num_rows), key=lambda i: (path[i] or "", at[i] or 0)):
+                if path[i] is None or at[i] is None or n[i] is None or at[i] < 0 or n[i] < 0:
+                    continue
+                if path[i] != now:
+                    if f:
+                        f.close()
+                    now, f = path[i], open(path[i], "rb")
+                f.seek(at[i])
+                data = f.read(n[i])
+                out[i] = data if len(data) == n[i] else None
+            if f:
+                f.close()
+            xml = pa.array(out, pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, xml], [*b.schema.names, "xml"]).filter(xml.is_valid())
+
+    return elements.mapInArrow(run, schema)
+
+
 def elements(spark: SparkSession, path: str, range_size: int = 64 << 20, strict: bool = False) -> DataFrame:
     spark.dataSource.register(Elements)
     return spark.read.format("map_elements").option("rangeSize", range_size).option("strict", str(strict).lower()).load(path)

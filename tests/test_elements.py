@@ -44,6 +44,30 @@ def test_ranges_equal_one_scan(spark, tmp_path, size):
     assert got == list(osm.scan(data)) and len(got) == 300
 
 
+def test_slices(spark, tmp_path):
+    data = body(40)
+    (tmp_path / "m.osm").write_bytes(data)
+    found = osm.elements(spark, str(tmp_path / "m.osm"), 500).where("kind = 1")
+    got = {r.file_offset: bytes(r.xml) for r in osm.sliced(found).collect()}
+    assert got == {at: data[at : at + n] for at, n, kind, *_ in osm.scan(data) if kind == 1} and all(x.startswith(b"<way") for x in got.values())
+    beyond = found.withColumn("file_length", F.when(F.col("file_offset") == min(got), len(data)).otherwise(F.col("file_length")))
+    assert osm.sliced(beyond).count() == len(got) - 1
+
+
+def test_pruned_scan_reads_its_blocks_only(spark):
+    """Rows the scan gives out, by its own metrics."""
+    n = 40_000
+    df = spark.range(n).selectExpr("id * 10 as file_offset", "cast(id % 2 as tinyint) as kind", "id", "cast(id as int) as lat_e7", "cast(id as int) as lon_e7", "cast(if(id div 1024 in (3, 4, 30), 4, 0) as int) as tag_flags")
+    stored = zonemap.store(zonemap.number(df))
+    found = zonemap.filter_pruned(stored, zonemap.summaries(stored), zonemap.Filter(tag_mask=4))
+    own = found._jdf.queryExecution()
+    assert own.toRdd().count() == 3 * 1024
+    leaves = own.executedPlan().collectLeaves()
+    read = sum(leaves.apply(i).metrics().get("numOutputRows").get().value() for i in range(leaves.size()))
+    assert 3 * 1024 <= read < n / 4
+    assert zonemap.filter_pruned(stored, zonemap.summaries(stored), zonemap.Filter(tag_mask=8)).count() == 0
+
+
 def frame(spark, n=3000):
     rnd = random.Random(2)
     rows = [(i * 10, 9, rnd.choice([0, 0, 1]) if i < 2048 else rnd.choice([1, 2]), i, rnd.randint(-90, 90), rnd.randint(-180, 180), 1 << rnd.randint(0, 7) if rnd.random() < 0.01 else 0) for i in range(n)]

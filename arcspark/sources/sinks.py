@@ -13,6 +13,10 @@ from ..schema import widen
 from . import container
 
 
+#: Groups up to which their names are broadcast to the index.
+MAX_GROUPS = 100_000
+
+
 class Sink(Protocol):
     def write(self, index: DataFrame, blobs: DataFrame | None = None) -> int: ...
 
@@ -20,10 +24,12 @@ class Sink(Protocol):
 class TableSink:
     """One table for each group in a namespace, named after the group; write returns the bytes they take.
 
-    Groups are known from the manifest, so the loop over them runs over names only.  Uses Iceberg where a catalog
-    offers it (format='iceberg'), else Parquet tables.
+    All groups are written by one job, into a folder for each, and the tables are registered over these folders; a large group is
+    split over tasks.  Where a catalog keeps its own files (format='iceberg') each table is written by itself.
     """
 
+    FILES = ("parquet", "orc")
+
     def __init__(self, spark: SparkSession, namespace: str, format: str = "parquet", module: str = "", location: str | None = None):
         """location: a shared folder for the tables' files; by default the warehouse's."""
         self.spark, self.namespace, self.format, self.module, self.location = spark, namespace, format, module, location
@@ -40,6 +46,8 @@ class TableSink:
         if not names:
             raise ValueError("there is nothing to write")
         own = widen(untyped(index))
+        if self.format in self.FILES:
+            return self._files(own, names)
         total = 0
         for g in names:
             full = f"`{self.namespace}`.`{g['table']}`"
@@ -51,6 +59,19 @@ class TableSink:
         return total
 
 
+    def _files(self, own: DataFrame, names: list) -> int:
+        spark, root = self.spark, self.location or f"{self.spark.conf.get('spark.sql.warehouse.dir')}/{self.namespace}.db/groups"
+        named = spark.createDataFrame([(g["pkg_type"], g["repo"], g["table"]) for g in names], "pkg_type int, repo string, group_table string")
+        rows = own.join(F.broadcast(named) if len(names) <= MAX_GROUPS else named, ["pkg_type", "repo"]).select(*own.columns, "group_table")
+        rows.hint("rebalance", "group_table").write.mode("overwrite").format(self.format).partitionBy("group_table").save(root)
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
+        for g in names:
+            full = f"`{self.namespace}`.`{g['table']}`"
+            spark.sql(f"DROP TABLE IF EXISTS {full}")
+            spark.sql(f"CREATE TABLE {full} ({columns}) USING {self.format} LOCATION '{root}/group_table={g['table']}'")
+        return size_of(spark, root)
+
+
 class ContainerSink:
     """One file with blobs, group indexes and manifest; write returns its length."""
 

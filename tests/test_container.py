@@ -73,6 +73,18 @@ def test_single_index(spark, tmp_path):
         C.manifest(spark, str(tmp_path / "y")).collect()
 
 
+def test_table_sink_of_many_groups(spark):
+    index = spark.createDataFrame([(f"f{i}", 0, 0, False, 1, i, 1, bytearray(32), i % 3, f"r/{i % 5}") for i in range(90)], "relative_path string, chunk_seq int, fdata_offset bigint, compressed boolean, uncompressed_size bigint, blob_offset bigint, blob_size bigint, checksum binary, pkg_type tinyint, repo string")
+    sink = sinks.TableSink(spark, "ns2", location=shared_path(spark, "tables"))
+    for _ in range(2):
+        assert sink.write(index) > 0
+    names = sink.names(index).collect()
+    assert len(names) == 15 and names[0].table == "idx_000_r_0_0"
+    for g in names:
+        own = spark.table(f"ns2.{g.table}").collect()
+        assert len(own) == 6 and {(r.pkg_type, r.repo) for r in own} == {(g.pkg_type, g.repo)}
+
+
 def test_table_sink(spark):
     rows = [(p, i, 0, c, s, o, b, bytearray([i] * 32)) for i, (p, c, s, o, b) in enumerate((("a.txt", True, 100, 0, 50), ("b.bin", False, 200, 100, 200), ("c.dat", True, 300, 300, 80)))]
     index = spark.createDataFrame(rows, archive.INDEX)

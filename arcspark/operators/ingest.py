@@ -44,10 +44,11 @@ def slices(entries: DataFrame, size: int = SLICE) -> DataFrame:
     entries = untyped(entries).withColumn("content", F.coalesce("content", F.lit(b"")))
     length = F.octet_length("content").cast("bigint")
     last = F.floor(F.greatest(length - 1, F.lit(0)) / size)
-    rows = entries.select(*(c for c in entries.columns if c != "content"), "content", length.alias("file_size"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("nth"))
-    at = F.col("nth") * size
-    piece = F.substring("content", (at + 1).cast("int"), F.lit(size))
-    return rows.select(*(c for c in entries.columns if c != "content"), "file_size", F.col("nth").cast("int").alias("chunk_seq"), at.alias("fdata_offset"), piece.alias("data")).withColumn("uncompressed_size", F.octet_length("data").cast("bigint"))
+    # The pieces are cut before they are exploded: a row carries its own bytes and never the whole content.
+    pieces = F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda i: F.substring("content", (i * size + 1).cast("int"), F.lit(size)))
+    rest = [c for c in entries.columns if c != "content"]
+    rows = entries.select(*rest, "content", length.alias("file_size")).select(*rest, "file_size", F.posexplode(pieces).alias("chunk_seq", "data"))
+    return rows.select(*rest, "file_size", "chunk_seq", (F.col("chunk_seq").cast("bigint") * size).alias("fdata_offset"), "data", F.octet_length("data").cast("bigint").alias("uncompressed_size"))
 
 
 def checksum(data: Column) -> Column:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Largest file that is put together in a row.
+MAX_CONTENT = 1 << 30
+
 
 def listing(index: DataFrame) -> DataFrame:
     """One row for each file: path, size of its first chunk, and its coordinate where it has a group_id."""
@@ -32,5 +35,10 @@ def entries(index: DataFrame) -> DataFrame:
 
 
 def reassemble(decoded: DataFrame) -> DataFrame:
-    """(relative_path, content): chunks of a file concatenated in order of offset."""
-    return decoded.groupBy("relative_path").agg(F.expr("listagg(data) within group (order by fdata_offset, chunk_seq)").alias("content"))
+    """(relative_path, content): chunks of a file concatenated in order of offset.
+
+    A row holds a whole file, so one of more than MAX_CONTENT bytes raises; such files are extracted to a folder, chunk by chunk.
+    """
+    whole = decoded.groupBy("relative_path").agg(F.expr("listagg(data) within group (order by fdata_offset, chunk_seq)").alias("content"), F.sum(F.octet_length("data").cast("bigint")).alias("bytes"))
+    large = F.raise_error(F.concat(F.lit("too large for one row: "), "relative_path"))
+    return whole.select("relative_path", F.when(F.col("bytes") > MAX_CONTENT, large.cast("binary")).otherwise(F.col("content")).alias("content"))

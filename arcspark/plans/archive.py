@@ -14,12 +14,14 @@ from pyspark.sql.types import StructType
 from ..operators import codec, ingest, reading
 from ..operators.plugins import Plugin, Registry
 from ..schema import INDEX
-from ..session import materialize
+from ..session import counted, materialize
 from ..sources import entries as sources
 from ..sources import ranges
 from ..sources.ranges import local_path
 
 GROUP = ["pkg_type", "repo"]
+#: Paths that are broadcast up to so many.
+MAX_LOOKUP = 200_000
 
 
 def encode(entries: DataFrame, no_skip: bool = False, slice_size: int = ingest.SLICE, level: int = codec.LEVEL, algorithm: str = "sha256") -> DataFrame:
@@ -28,11 +30,29 @@ def encode(entries: DataFrame, no_skip: bool = False, slice_size: int = ingest.S
     return codec.encode(own.select("relative_path", "chunk_seq", "fdata_offset", "compressed", "uncompressed_size", *GROUP, "data"), level, algorithm)
 
 
+def _last(entries: DataFrame, order: str) -> DataFrame:
+    """Of entries with one path the one with the largest order; only paths that repeat are joined."""
+    again, rows = counted(entries.groupBy("relative_path").agg(F.max(order).alias("__last"), F.count("*").alias("__n")).where("__n > 1").select("relative_path", "__last"), "again")
+    if not rows:
+        return entries
+    again = F.broadcast(again) if rows <= MAX_LOOKUP else again
+    return entries.join(again, "relative_path", "left").where(F.col("__last").isNull() | (F.col(order) == F.col("__last"))).drop("__last")
+
+
+def _once(index: DataFrame) -> None:
+    """Raises if two entries have one path, which would be read back as one file."""
+    twice = index.groupBy("relative_path", "chunk_seq").agg(F.count("*").alias("n")).where("n > 1").select("relative_path").limit(3).collect()
+    if twice:
+        raise ValueError(f"several entries have one path: {', '.join(sorted({str(r[0]) for r in twice}))}")
+
+
 def _put(encoded: DataFrame, out: str, config: dict, extension: DataFrame | None = None) -> Archive:
     spark = encoded.sparkSession
     # Chunks are compressed once and written where they were read: no blob is shuffled or sorted.  The index is read back without them.
     encoded.write.mode("overwrite").parquet(f"{out}/blobs")
-    index = ingest.blob_layout(spark.read.parquet(f"{out}/blobs").drop("blob"))
+    written = spark.read.schema(encoded.schema).parquet(f"{out}/blobs").drop("blob")
+    _once(written)
+    index = ingest.blob_layout(written)
     if extension is not None:
         index = ingest.attach(index, extension.drop("pkg_type"))
     fields = [c for c in index.columns if c not in INDEX.names and c not in GROUP]
@@ -44,8 +64,15 @@ def _put(encoded: DataFrame, out: str, config: dict, extension: DataFrame | None
     return archive
 
 
-def write(entries: DataFrame, out: str, no_skip: bool = False, plugins: tuple[Plugin, ...] = (), slice_size: int = ingest.SLICE, level: int = codec.LEVEL, algorithm: str = "sha256") -> DataFrame:
-    """Write entries as an archive and return its report, one row."""
+def write(entries: DataFrame, out: str, no_skip: bool = False, plugins: tuple[Plugin, ...] = (), slice_size: int = ingest.SLICE, level: int = codec.LEVEL, algorithm: str = "sha256", on_duplicate: str = "reject", order: str = "entry_no") -> DataFrame:
+    """Write entries as an archive and return its report, one row.
+
+    Entries with one path are refused, or with on_duplicate='last' the one with the largest value in the column named by order is kept (it must not repeat).
+    """
+    if on_duplicate not in ("reject", "last"):
+        raise ValueError(f"unknown on_duplicate {on_duplicate}")
+    if on_duplicate == "last":
+        entries = _last(entries, order)
     config = {"format_version": "3", "compression_level": level, "file_split_block_size": slice_size, "checksum": algorithm, "no_skip": no_skip}
     extension = Registry(list(plugins)).rows(entries) if plugins else None
     archive = _put(encode(entries, no_skip, slice_size, level, algorithm), out, config, extension)
@@ -117,9 +144,12 @@ class Archive:
         return codec.decode(self.blobs() if rows is None else rows, self.config()["checksum"])
 
     def extract_many(self, paths: DataFrame) -> DataFrame:
-        """(relative_path, content, error) of each requested path; a missing one has an error and no content."""
-        wanted = paths.select("relative_path").distinct()
-        found = reading.reassemble(self.decoded(self.blobs().join(wanted, "relative_path", "left_semi")))
+        """(relative_path, content, error) of each requested path; a missing one has an error and no content.
+
+        Blobs of other paths are dropped before anything is decoded; up to MAX_LOOKUP paths are broadcast to the blobs.
+        """
+        wanted, rows = counted(paths.select("relative_path").distinct(), "wanted")
+        found = reading.reassemble(self.decoded(self.blobs().join(F.broadcast(wanted) if rows <= MAX_LOOKUP else wanted, "relative_path", "left_semi")))
         return wanted.join(found, "relative_path", "left").withColumn("error", F.when(F.col("content").isNull(), F.lit("no such file")))
 
     def extract(self, path: str) -> bytes:
@@ -137,39 +167,42 @@ class Archive:
     def extract_all(self, out_dir: str, repo: str | None = None, pkg_type: int | None = None, keep_corrupt: bool = False) -> DataFrame:
         """Write files, or those of one group, chunk by chunk at their offsets; returns the report of the chunks written.
 
-        A corrupt chunk is left out unless asked for; out_dir must be a folder that all executors share.
+        A corrupt chunk is left out unless asked for; out_dir must be a folder that all executors share.  Files are first made at their
+        full size, from the sizes alone; then each chunk is decoded and written by the task that read it, so no bytes are shuffled.
         """
         rows = self.blobs()
         if repo is not None:
             rows = rows.where(F.col("repo") == repo)
         if pkg_type is not None:
             rows = rows.where(F.col("pkg_type") == pkg_type)
-        sizes = rows.groupBy("relative_path").agg(F.sum("uncompressed_size").alias("file_size"))
         root = local_path(out_dir)
 
-        def put(part: Iterator) -> Iterator[tuple]:
-            for r in part:
-                target = safe_target(root, r["relative_path"])
-                os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
-                fd = os.open(target, os.O_CREAT | os.O_WRONLY, 0o644)
-                try:
-                    os.ftruncate(fd, r["file_size"])
-                    if r["status"] == "ok" or (keep_corrupt and r["data"] is not None):
-                        os.pwrite(fd, r["data"], r["fdata_offset"])
-                finally:
-                    os.close(fd)
-                yield r["relative_path"], r["status"], r["uncompressed_size"]
-
-        schema = "relative_path string, status string, uncompressed_size bigint"
-        names = [x.split()[0] for x in schema.split(", ")]
-        arrow = pa.schema([("relative_path", pa.string()), ("status", pa.string()), ("uncompressed_size", pa.int64())])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in put(b.to_pylist())], arrow)
+                for path, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    target = safe_target(root, path)
+                    os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
+                    fd = os.open(target, os.O_CREAT | os.O_TRUNC | os.O_WRONLY, 0o644)
+                    try:
+                        os.ftruncate(fd, size)
+                    finally:
+                        os.close(fd)
+                yield b.select([0])
+
+        def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for path, at, status, data in zip(*(b.column(c).to_pylist() for c in ("relative_path", "fdata_offset", "status", "data"))):
+                    if status == "ok" or (keep_corrupt and data is not None):
+                        fd = os.open(safe_target(root, path), os.O_WRONLY)
+                        try:
+                            os.pwrite(fd, data, at)
+                        finally:
+                            os.close(fd)
+                yield b.select(["relative_path", "status", "uncompressed_size"])
 
-        full = self.decoded(rows).join(sizes, "relative_path").select("relative_path", "fdata_offset", "file_size", "data", "status", "uncompressed_size")
-        return codec.verify_report(materialize(full.mapInArrow(run, schema), "written"))
+        sizes = rows.groupBy("relative_path").agg(F.sum("uncompressed_size").alias("file_size"))
+        materialize(sizes.mapInArrow(make, "relative_path string"), "made")
+        return codec.verify_report(materialize(self.decoded(rows).mapInArrow(put, "relative_path string, status string, uncompressed_size bigint"), "written"))
 
 
 def open(spark: SparkSession, path: str) -> Archive:  # noqa: A001

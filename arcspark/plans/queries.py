@@ -297,7 +297,7 @@ def q26_filter_box(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {ELEMENTS} select id from ev where kind = 0 and lat_e7 between 99000 and 100000 and lon_e7 between -100000 and 0")
 def q27_pruned_scan(spark: SparkSession, d: str) -> DataFrame:
-    own = materialize(zonemap.number(_elements(spark, d)), "elements")
+    own = zonemap.store(zonemap.number(_elements(spark, d)))
     return zonemap.filter_pruned(own, zonemap.summaries(own), zonemap.Filter(kind=0, bbox=(99_000, 100_000, -100_000, 0))).select("id")
 
 
@@ -527,19 +527,21 @@ def q49_manifest_rollup(spark: SparkSession, d: str) -> DataFrame:
     return ingest.manifest_rollup(table(spark, d, "chunk_index"))
 
 
-@query("select 'idx_' || lpad(coalesce(pkg_type, 0)::varchar, 3, '0') || '_' || row_number() over (order by coalesce(pkg_type, 0)) - 1 as name, count(*) as rows_in from chunk_index group by coalesce(pkg_type, 0)")
+@query(r"""with g as (select coalesce(pkg_type, 0) as pkg_type, coalesce(repo, '') as repo, count(*) as rows_in from chunk_index group by 1, 2),
+  n as (select *, trim(regexp_replace(repo, '[^A-Za-z0-9]', '_', 'g'), '_') as r, row_number() over (order by pkg_type, repo) - 1 as nth from g)
+  select 'idx_' || lpad((pkg_type & 255)::varchar, 3, '0') || case when r <> '' then '_' || r else '' end || '_' || nth as name, rows_in from n""")
 def q50_table_sink(spark: SparkSession, d: str) -> DataFrame:
-    """The index as one table for each package type, and the rows of each."""
-    own = table(spark, d, "chunk_index").withColumn("repo", F.lit(""))
+    """The index as one table for each package type and repository, and the rows of each table."""
+    own = table(spark, d, "chunk_index")
     place = shared_path(spark, "tables")
     name = "t" + place[-12:]
     sink = sinks.TableSink(spark, name, location=place)
     sink.write(own)
     out = None
     for r in sink.names(own).collect():
-        part = spark.table(f"{name}.{r['table']}").agg(F.count("*").alias("rows_in")).select(F.lit(r["table"]).alias("name"), "rows_in")
+        part = spark.table(f"{name}.{r['table']}").select(F.lit(r["table"]).alias("name"))
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.groupBy("name").agg(F.count("*").alias("rows_in"))
 
 
 @query("select doc_id, sha256(encode(text)) as digest from documents where text is not null and doc_id is not null")

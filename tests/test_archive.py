@@ -57,6 +57,35 @@ def test_empty_file_and_empty_archive(spark):
     assert own.file_count() == 0 and report.total_files == 0 and own.verify().first().total_files == 0
 
 
+def test_entries_with_one_path(spark):
+    rows = [("a", b"AAA", None, None), ("b", b"B", None, None), ("a", b"BBBB", None, None)]
+    with pytest.raises(ValueError, match="a"):
+        written(spark, rows)
+    numbered = frame(spark, rows).withColumn("entry_no", F.octet_length("content"))
+    out = shared_path(spark, "archive")
+    archive.write(numbered, out, on_duplicate="last", level=3)
+    own = archive.open(spark, out)
+    assert own.extract("a") == b"BBBB" and own.extract("b") == b"B" and own.file_count() == 2
+    with pytest.raises(ValueError):
+        archive.write(numbered, out, on_duplicate="first")
+
+
+def test_slices_do_not_carry_the_content(spark):
+    """What the generator passes on beside its pieces."""
+    node = ingest.slices(frame(spark, THREE), 16)._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Generate":
+        node = node.children().apply(0)
+    assert "content" not in node.requiredChildOutput().mkString() and "relative_path" in node.requiredChildOutput().mkString()
+
+
+def test_too_large_for_a_row(spark, monkeypatch):
+    own, _ = written(spark, THREE)
+    monkeypatch.setattr(reading, "MAX_CONTENT", 1000)
+    assert own.extract("file1.txt") == b"Hello from file 1"
+    with pytest.raises(Exception, match="too large"):
+        own.extract("binary.bin")
+
+
 def test_many_chunks(spark):
     data = bytes(i % 251 for i in range(300_000))
     own, report = written(spark, [("big.bin", data, None, None)], slice_size=1 << 16)

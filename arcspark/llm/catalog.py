@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import history, leakage, packing, splitting, tokens
+from . import history, leakage, packing, splitting, sql, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,11 +56,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    # White space as the word rule sees it, beyond what \s covers here.
-    space = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-    count = rf"len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{space}]'))"
-    return {
-        "p5_invariants": f"select count(*) as documents, coalesce(sum({count}), 0)::bigint as tokens, 0::bigint as overfull, 0::bigint as misplaced, 0::bigint as split_small, true as tight from documents",
-        "p7_invariants": "select doc_id, length(text) as chars, 0::bigint as gaps, 0::bigint as over_limit, 0::bigint as without_overlap from documents where text <> ''",
-        "p7_found": f"select distinct doc_id from documents where {count} > 2048",
-    }
+    return sql.oracle_sql()

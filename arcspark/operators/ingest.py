@@ -56,6 +56,11 @@ def checksum(data: Column) -> Column:
     return F.unhex(F.sha2(data, 256))
 
 
+def crc(data: Column) -> Column:
+    """CRC-32 of the bytes, unsigned; the check that ZIP and gzip use, not one of the archive's checksums."""
+    return F.crc32(data)
+
+
 def prefix_sum(df: DataFrame, order: list[str], size: Column, out: str, start: int = 0) -> DataFrame:
     """df with the exclusive running sum of size in the given order.
 

@@ -35,5 +35,10 @@ def batch(queries: DataFrame, index: DataFrame) -> DataFrame:
     return queries.join(index, "id", "left").select("query_pos", "id", "pos")
 
 
+def near(queries: DataFrame, key: str = "id") -> DataFrame:
+    """Queries sorted by key within their partitions, without a shuffle, so that each task asks neighbouring places one after the other."""
+    return queries.sortWithinPartitions(key)
+
+
 def rank(df: DataFrame, order: list[str], out: str = "pos") -> DataFrame:
     return positions(df, order, out)

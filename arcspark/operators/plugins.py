@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, ByteType, StringType, StructField, StructType
@@ -77,6 +77,36 @@ class Plugin:
         return own.select("relative_path", data.alias("content")).mapInArrow(run, out)
 
 
+@dataclass
+class Staged:
+    """Files put together in memory before they become entries: push, extract metadata, drain."""
+
+    files: list[tuple[str, bytes]] = field(default_factory=list)
+
+    def push(self, path: str, data: bytes) -> Staged:
+        self.files.append((path, bytes(data)))
+        return self
+
+    def __len__(self) -> int:
+        return len(self.files)
+
+    def total_bytes(self) -> int:
+        return sum(len(d) for _, d in self.files)
+
+    def entries(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(p, bytearray(d), None, None) for p, d in self.files], "relative_path string, content binary, pkg_type tinyint, repo string")
+
+    def extract(self, spark: SparkSession, plugin: Plugin) -> DataFrame:
+        """Typed rows of the staged files, which stay."""
+        return plugin.rows(self.entries(spark))
+
+    def drain(self, spark: SparkSession) -> DataFrame:
+        """The staged files as entries; nothing is staged afterwards."""
+        out = self.entries(spark)
+        self.files = []
+        return out
+
+
 @dataclass
 class Registry:
     """Active plugins; a file belongs to the first one that matches its path."""

@@ -356,7 +356,7 @@ def q34_stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     raw = raw.parquet(path) if _is_dir(spark, path) else raw.option("pathGlobFilter", "documents.parquet").parquet(d)
     out = shared_path(spark, "stream")
     streaming.Ingest(entries.from_documents(raw), out, slice_size=SLICE, level=LEVEL).finish()
-    return spark.read.parquet(f"{out}/manifest")
+    return streaming.published(spark, out, "manifest")
 
 
 @query("""with s as (select l_returnflag || l_linestatus || l_linenumber as name, sum(case when l_shipdate >= timestamp '1998-09-24' then l_quantity::bigint else 0 end)::double as c1, sum(case when l_shipdate >= timestamp '1998-09-24' then l_partkey else 0 end)::double as d1,

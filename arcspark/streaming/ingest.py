@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,9 +43,40 @@ class Ingest:
 
 
 def publish(spark: SparkSession, out: str) -> DataFrame:
-    """Index and manifest of all batches written so far; publishing again gives the same."""
-    index = ingest.blob_layout(spark.read.parquet(f"{out}/blobs").drop("blob", "batch"))
-    index.write.mode("overwrite").parquet(f"{out}/index")
-    own = spark.read.parquet(f"{out}/index")
-    ingest.manifest(own).coalesce(1).write.mode("overwrite").parquet(f"{out}/manifest")
-    return ingest.compression_report(own)
+    """Index and manifest of all batches written so far; publishing again gives the same.
+
+    Both are written into a folder of their own, and readers see it (published) once a mark with its name is moved into place: they get the old index
+    and manifest, or the new ones, never one of each.
+    """
+    name = uuid.uuid4().hex
+    own = f"{out}/published/{name}"
+    ingest.blob_layout(spark.read.parquet(f"{out}/blobs").drop("blob", "batch")).write.parquet(f"{own}/index")
+    index = spark.read.parquet(f"{own}/index")
+    ingest.manifest(index).coalesce(1).write.parquet(f"{own}/manifest")
+    fs, path = _files(spark, out)
+    nth = max(_marks(spark, out), default=-1) + 1
+    fs.create(path(f"{out}/published/_{name}")).close()
+    if not fs.rename(path(f"{out}/published/_{name}"), path(f"{out}/published/{nth:010d}-{name}")):
+        raise OSError(f"{out} could not be published")
+    return ingest.compression_report(index)
+
+
+def _files(spark: SparkSession, out: str) -> tuple:
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(out).getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _marks(spark: SparkSession, out: str) -> dict[int, str]:
+    """Number and folder of everything that was published."""
+    fs, path = _files(spark, out)
+    root = path(f"{out}/published")
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return {int(n[:10]): n[11:] for n in names if n[:10].isdigit() and n[10:11] == "-"}
+
+
+def published(spark: SparkSession, out: str, table: str = "index") -> DataFrame:
+    """The index or manifest that was published last."""
+    marks = _marks(spark, out)
+    if not marks:
+        raise ValueError(f"nothing is published in {out}")
+    return spark.read.parquet(f"{out}/published/{marks[max(marks)]}/{table}")

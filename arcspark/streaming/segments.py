@@ -3,6 +3,8 @@
 A splitter takes bytes and returns (segments, consumed); what it doesn't consume is carried into the next read.  Each range of a
 file is one task: it begins after the first boundary at or after its start and finishes the record that crosses its
 end, so every record belongs to one task and (path, at) is the order of the stream.
+
+A user's own splitter works on ranges alike where a function finds the next start of a segment from any place.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from ..sources.ranges import files_below
 
 Splitter = Callable[[bytes], tuple[list[bytes], int]]
 Transform = Callable[[bytes], list[tuple]]
+#: Offset of the first start of a segment in data at or after a place, or -1 if there is none.
+FindStart = Callable[[bytes, int], int]
 RECORD_LIMIT = 64 << 20
 
 
@@ -57,11 +61,17 @@ def segments_of(read: Callable[[int], bytes], split: Splitter, chunk: int, limit
         yield *held, True
 
 
-def transform(spark: SparkSession, path: str, fn: Transform, schema: StructType, delimiter: bytes = b"\n", range_size: int = 64 << 20, finish: Callable[[], list[tuple]] | None = None) -> DataFrame:
+def transform(spark: SparkSession, path: str, fn: Transform, schema: StructType, delimiter: bytes = b"\n", range_size: int = 64 << 20, finish: Callable[[], list[tuple]] | None = None, split: Splitter | None = None, find_start: FindStart | None = None, chunk: int = 1 << 20, with_last: bool = False) -> DataFrame:
     """(path, at, n, fields...): rows fn gives for each record, n numbering those of one record.
 
     finish gives rows after the last record of a range (a worker's tail); they carry the range's end as at.
+    split and find_start together replace the delimiter: segments are then what split gives, with their delimiters.
+    with_last: fn also takes whether the segment is the last of its file.
     """
+    if (split is None) != (find_start is None):
+        raise ValueError("split and find_start go together")
+    if with_last and split is None:
+        split, find_start = by_delimiter(delimiter), after_delimiter(delimiter)
     out = StructType([StructField("path", StringType()), StructField("at", LongType()), StructField("n", LongType()), *schema.fields])
     arrow = to_arrow_schema(out)
     spans = [(p, a, min(a + range_size, size), size) for p, size in files_below(path) for a in range(0, size, range_size)]
@@ -71,8 +81,9 @@ def transform(spark: SparkSession, path: str, fn: Transform, schema: StructType,
         for b in batches:
             for p, begin, end, _ in zip(*(b.column(i).to_pylist() for i in range(4))):
                 rows = []
-                for at, record in records(p, begin, end, delimiter):
-                    rows += [(p, at, n, *r) for n, r in enumerate(fn(record))]
+                found = ((at, (x, last) if with_last else (x,)) for at, x, last in segments_in(p, begin, end, split, find_start, chunk)) if split else ((at, (x,)) for at, x in records(p, begin, end, delimiter, chunk))
+                for at, record in found:
+                    rows += [(p, at, n, *r) for n, r in enumerate(fn(*record))]
                     if len(rows) >= 10_000:
                         yield pa.RecordBatch.from_pylist([dict(zip(out.names, r)) for r in rows], arrow)
                         rows = []
@@ -83,6 +94,40 @@ def transform(spark: SparkSession, path: str, fn: Transform, schema: StructType,
     return plan.mapInArrow(run, out)
 
 
+def after_delimiter(delimiter: bytes = b"\n") -> FindStart:
+    """Starts right behind a delimiter."""
+
+    def find(data: bytes, at: int) -> int:
+        cut = data.find(delimiter, max(0, at - len(delimiter)))
+        return -1 if cut < 0 else cut + len(delimiter)
+
+    return find
+
+
+def segments_in(path: str, begin: int, end: int, split: Splitter, find_start: FindStart, chunk: int = 1 << 20, limit: int = RECORD_LIMIT) -> Iterator[tuple[int, bytes, bool]]:
+    """(offset, segment, whether it is the file's last) of the segments that begin in [begin, end) of a file; find_start sees up to 64 bytes before begin."""
+    with open(path, "rb") as f:
+        back = min(begin, 64)
+        f.seek(begin - back)
+        data, at = b"", begin - back
+        if begin:
+            while (start := find_start(data, back)) < 0:
+                more = f.read(chunk)
+                if not more:
+                    return
+                data += more
+                if len(data) > limit:
+                    raise ValueError(f"no boundary within {limit} bytes at {at}")
+            at, data = at + start, data[start:]
+            if at >= end:
+                return
+        first = [data] if data else []
+        for offset, segment, last in segments_of(lambda n: first.pop() if first else f.read(n), split, chunk, limit):
+            if at + offset >= end:
+                return
+            yield at + offset, segment, last
+
+
 def records(path: str, begin: int, end: int, delimiter: bytes = b"\n", chunk: int = 1 << 20, limit: int = RECORD_LIMIT) -> Iterator[tuple[int, bytes]]:
     """(offset, record without delimiter) of records that begin in [begin, end) of a file."""
     with open(path, "rb") as f:

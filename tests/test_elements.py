@@ -102,6 +102,8 @@ def test_lookup(spark, keys):
     got = {r.query_pos: r.pos for r in lookup.batch(spark.createDataFrame(list(enumerate(ask)), "query_pos bigint, id bigint"), index).collect()}
     order = sorted(keys)
     assert got == {i: order.index(k) if k in keys else None for i, k in enumerate(ask)}
+    near = lookup.near(spark.createDataFrame([(5,), (1,), (3,)], "id bigint").coalesce(1))
+    assert [r.id for r in near.collect()] == [1, 3, 5] and "Exchange" not in near._jdf.queryExecution().executedPlan().toString()
     assert [r.pos for r in lookup.find(index, 42).collect()] == ([order.index(42)] if 42 in keys else [])
 
 

@@ -151,3 +151,11 @@ def test_declared_plugin_and_conflicts(spark):
         PL.Registry([p, q]).schema()
     answers = spark.createDataFrame([(1, '{"a": "x", "b": 3}'), (2, "null"), (3, "{broken"), (4, None)], "i int, j string")
     assert [(r.a, r.b) for r in PL.json_rows(answers, "j", "a:utf8,b:u32").orderBy("i").collect()] == [("x", 3)] + [(None, None)] * 3
+
+
+def test_staged_files(spark):
+    own = PL.Staged().push("a-1.0.crate", b"x").push("b.txt", b"yz")
+    assert len(own) == 2 and own.total_bytes() == 3
+    assert [(r.relative_path, r.name, r.version) for r in own.extract(spark, PL.cargo()).collect()] == [("a-1.0.crate", "a", "1.0")]
+    assert {r.relative_path: bytes(r.content) for r in own.drain(spark).collect()} == {"a-1.0.crate": b"x", "b.txt": b"yz"}
+    assert len(own) == 0 and own.drain(spark).count() == 0

@@ -2,7 +2,7 @@ import struct
 
 import pytest
 
-from arcspark.operators import lookup
+from arcspark.operators import lookup, zonemap
 from arcspark.sources import records
 
 
@@ -25,3 +25,23 @@ def test_length_must_fit(spark, tmp_path):
     (tmp_path / "r").write_bytes(b"x" * 17)
     with pytest.raises(Exception, match="multiple"):
         records.records(spark, str(tmp_path / "r")).collect()
+
+
+def test_flat_files(spark, tmp_path):
+    """Elements and zone maps as flat files of 40 and 32 bytes a record, and back."""
+    rows = [(i * 10, 9, i % 3, i - 5, i, -i, 1 << (i % 8)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "file_offset bigint, file_length bigint, kind tinyint, id bigint, lat_e7 int, lon_e7 int, tag_flags int").repartition(3)
+    numbered = zonemap.number(df)
+    path = str(tmp_path / "e")
+    assert records.write_flat(numbered.sortWithinPartitions("elem_pos"), path, records.ELEMENTS, "elem_pos", 3000) == 3000 * 40
+    assert [tuple(r)[1:] for r in records.read_flat(spark, path, records.ELEMENTS, 700).orderBy("pos").collect()] == rows
+    zones = zonemap.summaries(numbered.where("kind <> 0 or elem_pos < 2048"))
+    assert records.write_flat(zones, path + "z", records.ZONES, "block_id", 3) == 3 * 32
+    got = records.read_flat(spark, path + "z", records.ZONES).orderBy("pos").collect()
+    assert (got[0].index_start, got[0].index_end, got[0].kind_mask, got[0].lat_max) == (0, 1024, 7, 1023) and got[2].lat_min == 2**31 - 1 and got[2].lon_max == -(2**31)
+    with pytest.raises(ValueError):
+        records.write_flat(zones, path + "z", records.ZONES, "block_id", 4)
+    with open(path, "ab") as f:
+        f.write(b"x")
+    with pytest.raises(ValueError):
+        records.read_flat(spark, path, records.ELEMENTS)

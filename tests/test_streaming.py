@@ -13,11 +13,14 @@ def test_stream_ingest_restarts_without_duplicates(spark, tmp_path):
     for i in range(5):
         (tmp_path / f"f{i}.txt").write_bytes(b"x" * (i * 1000 + 1))
     ingest.Ingest(ingest.files(spark, str(tmp_path), 2), out, slice_size=1024).finish()
-    first = spark.read.parquet(f"{out}/index").count()
+    first = ingest.published(spark, out).count()
     (tmp_path / "g.txt").write_bytes(b"new")
     report = ingest.Ingest(ingest.files(spark, str(tmp_path), 2), out, slice_size=1024).finish().first()
-    assert report.total_files == 6 and spark.read.parquet(f"{out}/index").count() == first + 1
+    assert report.total_files == 6 and ingest.published(spark, out).count() == first + 1
+    before = ingest.published(spark, out)
     assert ingest.publish(spark, out).first() == report
+    # Readers of what was published before still have it.
+    assert before.count() == first + 1 and ingest.published(spark, out, "manifest").first().row_count == first + 1
 
 
 def test_windows(spark):
@@ -53,6 +56,26 @@ def test_segments_over_ranges(spark, tmp_path, size):
     assert tail.count() == -(-len(b"\n".join(lines)) // size)
 
 
+@pytest.mark.parametrize("size", [1 << 20, 64, 11, 3])
+def test_own_splitter_over_ranges(spark, tmp_path, size):
+    """Segments that begin with '>' and end where the next begins, in parallel; the last one of the file is told."""
+    parts = [b">%d%s" % (i, b"x\n" * (i % 5)) for i in range(40)]
+    (tmp_path / "a").write_bytes(b"".join(parts))
+
+    def split(data):
+        starts = [i for i, c in enumerate(data) if c == 62]
+        return [data[a:b] for a, b in zip(starts, starts[1:])], starts[-1] if starts else 0
+
+    kind = StructType([StructField("text", StringType()), StructField("last", LongType())])
+    df = segments.transform(spark, str(tmp_path / "a"), lambda r, last: [(r.decode(), int(last))], kind, range_size=size, split=split, find_start=lambda data, at: data.find(b">", at), chunk=16, with_last=True)
+    rows = df.orderBy("at").collect()
+    assert [r.text.encode() for r in rows] == parts and [r.last for r in rows] == [0] * 39 + [1]
+    lines = segments.transform(spark, str(tmp_path / "a"), lambda r, last: [(r.decode(), int(last))], kind, range_size=size, with_last=True).orderBy("at").collect()
+    assert "".join(r.text for r in lines).encode() == b"".join(parts) and [r.last for r in lines] == [0] * (len(lines) - 1) + [1]
+    with pytest.raises(ValueError):
+        segments.transform(spark, str(tmp_path / "a"), lambda r: [], kind, split=split)
+
+
 def test_carry():
     data = b"aa|bbb|c|dddd"
     for chunk in (1, 2, 5, 100):
@@ -80,4 +103,4 @@ def test_stream_keeps_folders(spark, tmp_path):
     assert report.total_files == 2 and got == {"a/pom.xml": b"a", "b/c/pom.xml": b"b/c"}
     out = shared_path(spark, "stream")
     ingest.Ingest(ingest.files(spark, f"{root}/*"), out).finish()
-    assert {r.relative_path for r in spark.read.parquet(f"{out}/index").collect()} == set(got)
+    assert {r.relative_path for r in ingest.published(spark, out).collect()} == set(got)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,15 +46,33 @@ def _once(index: DataFrame) -> None:
         raise ValueError(f"several entries have one path: {', '.join(sorted({str(r[0]) for r in twice}))}")
 
 
-def _put(encoded: DataFrame, out: str, config: dict, extension: DataFrame | None = None) -> Archive:
+def _readable(blobs: DataFrame, out: str) -> DataFrame:
+    """Leave out the files of which a range couldn't be read (column error), and list them in out/errors."""
+    spark = blobs.sparkSession
+    bad, rows = counted(blobs.where("error is not null").groupBy("relative_path").agg(F.min("error").alias("error")), "errors")
+    bad.write.mode("overwrite").parquet(f"{out}/errors")
+    if rows:
+        kept = blobs.join(F.broadcast(bad.select("relative_path")) if rows <= MAX_LOOKUP else bad.select("relative_path"), "relative_path", "left_anti")
+        kept.write.mode("overwrite").option("compression", "uncompressed").option("parquet.enable.dictionary#blob", "false").parquet(f"{out}/blobs-readable")
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.delete(path(f"{out}/blobs"), True)
+        fs.rename(path(f"{out}/blobs-readable"), path(f"{out}/blobs"))
+    return bad
+
+
+def _put(encoded: DataFrame, out: str, config: dict, extension: Callable[[DataFrame | None], DataFrame] | None = None) -> Archive:
+    """extension gives the typed rows of files, but for those it is told couldn't be read."""
     spark = encoded.sparkSession
     # Chunks are compressed once and written where they were read: no blob is shuffled or sorted.  The index is read back without them.
-    encoded.write.mode("overwrite").parquet(f"{out}/blobs")
-    written = spark.read.schema(encoded.schema).parquet(f"{out}/blobs").drop("blob")
+    # They are compressed already, so the file neither compresses them again nor looks for repeated values.
+    encoded.write.mode("overwrite").option("compression", "uncompressed").option("parquet.enable.dictionary#blob", "false").parquet(f"{out}/blobs")
+    bad = _readable(spark.read.schema(encoded.schema).parquet(f"{out}/blobs"), out) if "error" in encoded.columns else None
+    written = spark.read.schema(encoded.schema).parquet(f"{out}/blobs").drop("blob", "error")
     _once(written)
     index = ingest.blob_layout(written)
     if extension is not None:
-        index = ingest.attach(index, extension.drop("pkg_type"))
+        index = ingest.attach(index, extension(bad).drop("pkg_type"))
     fields = [c for c in index.columns if c not in INDEX.names and c not in GROUP]
     index.select(*INDEX.names, *GROUP, *fields).repartitionByRange(*GROUP, "relative_path", "chunk_seq").sortWithinPartitions("relative_path", "chunk_seq").write.mode("overwrite").partitionBy(*GROUP).parquet(f"{out}/index")
     saved = config | {"schema": StructType([index.schema[n] for n in (*INDEX.names, *fields)]).jsonValue()}
@@ -74,19 +92,28 @@ def write(entries: DataFrame, out: str, no_skip: bool = False, plugins: tuple[Pl
     if on_duplicate == "last":
         entries = _last(entries, order)
     config = {"format_version": "3", "compression_level": level, "file_split_block_size": slice_size, "checksum": algorithm, "no_skip": no_skip}
-    extension = Registry(list(plugins)).rows(entries) if plugins else None
+    extension = (lambda _: Registry(list(plugins)).rows(entries)) if plugins else None
     archive = _put(encode(entries, no_skip, slice_size, level, algorithm), out, config, extension)
     return ingest.compression_report(archive.index())
 
 
-def write_dir(spark: SparkSession, path: str, out: str, no_skip: bool = False, plugins: tuple[Plugin, ...] = (), repo: str = "", slice_size: int = ingest.SLICE, level: int = codec.LEVEL) -> DataFrame:
-    """Write a folder as an archive.  All files are read in ranges of slice_size, so none has to fit in a row; plugins see every file's path, or open it where they read bytes."""
+def write_dir(spark: SparkSession, path: str, out: str, no_skip: bool = False, plugins: tuple[Plugin, ...] = (), repo: str = "", slice_size: int = ingest.SLICE, level: int = codec.LEVEL, mode: str = "strict") -> DataFrame:
+    """Write a folder as an archive.  All files are read in ranges of slice_size, so none has to fit in a row; plugins see every file's path, or open it where they read bytes.
+
+    A file that can't be read fails the job; with mode='permissive' it is left out, whole, and listed by Archive.errors.
+    """
     ranges.register(spark)
     pkg_type = plugins[0].type_id if plugins else 0
-    raw = spark.read.format("byte_ranges").option("rangeSize", slice_size).load(path)
+    raw = spark.read.format("byte_ranges").option("rangeSize", slice_size).option("parallelism", spark.sparkContext.defaultParallelism).option("mode", mode).load(path)
     own = raw.withColumn("compressed", ~ingest.skip_flag(F.col("relative_path"), no_skip)).withColumn("pkg_type", F.lit(pkg_type).cast("tinyint")).withColumn("repo", F.lit(repo))
-    encoded = codec.encode(own.select("relative_path", "chunk_seq", "fdata_offset", "compressed", "uncompressed_size", *GROUP, "data"), level)
-    extension = Registry(list(plugins)).rows(sources.names(spark, path)) if plugins else None
+    more = ["error"] if mode == "permissive" else []
+    encoded = codec.encode(own.select("relative_path", "chunk_seq", "fdata_offset", "compressed", "uncompressed_size", *GROUP, *more, "data"), level)
+
+    def rows(bad: DataFrame | None) -> DataFrame:
+        names = sources.names(spark, path)
+        return Registry(list(plugins)).rows(names if bad is None else names.join(bad, "relative_path", "left_anti"))
+
+    extension = rows if plugins else None
     config = {"format_version": "3", "compression_level": level, "file_split_block_size": slice_size, "checksum": "sha256", "no_skip": no_skip}
     return ingest.compression_report(_put(encoded, out, config, extension).index())
 
@@ -118,7 +145,13 @@ class Archive:
         return self.spark.read.parquet(f"{self.path}/manifest")
 
     def blobs(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/blobs")
+        return self.spark.read.parquet(f"{self.path}/blobs").drop("error")
+
+    def errors(self) -> DataFrame:
+        """(relative_path, error) of files that a permissive write left out."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/errors")
+        none = not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return self.spark.createDataFrame([], "relative_path string, error string") if none else self.spark.read.parquet(f"{self.path}/errors")
 
     def views(self, prefix: str = "archive") -> None:
         self.index().createOrReplaceTempView(f"{prefix}_index")

@@ -27,23 +27,29 @@ class Ranges(InputPartition):
 
 
 class RangeReader(DataSourceReader):
-    """A task reads spans of up to taskSize bytes together, of one large file or of many small ones."""
+    """A task reads spans of up to taskSize bytes together, of one large file or of many small ones; with option parallelism less, so that so many tasks get some."""
 
     def __init__(self, options: dict):
         self.root = local_path(options["path"])
         self.size = int(options.get("rangesize", 8 << 20))
         self.task_size = int(options.get("tasksize", 128 << 20))
         self.task_files = int(options.get("taskfiles", 2000))
+        self.parallelism = int(options.get("parallelism", 1))
         self.only = options.get("only", "all")
+        self.permissive = options.get("mode") == "permissive"
 
     def partitions(self) -> list[Ranges]:
         out, now, total = [], [], 0
-        for path, n in files_below(self.root):
+        files = files_below(self.root)
+        whole = sum(n for _, n in files)
+        task_size = min(self.task_size, max(1, -(-whole // self.parallelism)))
+        task_files = min(self.task_files, max(1, -(-len(files) // self.parallelism))) if len(files) > self.parallelism else self.task_files
+        for path, n in files:
             if n and self.only == "empty":
                 continue
             for at in range(0, max(n, 1), max(n, 1) if self.only == "names" else self.size):
                 part = n if self.only == "names" else min(self.size, n - at)
-                if now and (total + part > self.task_size or len(now) >= self.task_files):
+                if now and (total + part > task_size or len(now) >= task_files):
                     out.append(Ranges(now))
                     now, total = [], 0
                 now.append((path, at, part))
@@ -54,20 +60,27 @@ class RangeReader(DataSourceReader):
         base = self.root if os.path.isdir(self.root) else os.path.dirname(self.root)
         for path, at, n in partition.spans:
             if self.only == "names":
-                yield os.path.relpath(path, base), 0, 0, None, n
+                yield os.path.relpath(path, base), 0, 0, None, n, None
                 continue
-            with open(path, "rb") as f:
-                f.seek(at)
-                data = f.read(n)
-            if len(data) != n:
-                raise OSError(f"{path} ended {n - len(data)} bytes early at {at}")
-            yield os.path.relpath(path, base), at // self.size, at, data, n
+            data, error = None, None
+            try:
+                with open(path, "rb") as f:
+                    f.seek(at)
+                    data = f.read(n)
+                if len(data) != n:
+                    raise OSError(f"{path} ended {n - len(data)} bytes early at {at}")
+            except OSError as e:
+                if not self.permissive:
+                    raise
+                data, error = None, str(e)
+            yield os.path.relpath(path, base), at // self.size, at, data, n, error
 
 
 class ByteRanges(DataSource):
     """spark.read.format('byte_ranges').option('rangeSize', n).load(path): chunks of all files below a path.
 
-    Option only: 'empty' for empty files alone, 'names' for one row a file with its size and without its bytes.
+    Option only: 'empty' for empty files alone, 'names' for one row a file with its size and without its bytes.  Option mode: a range
+    that can't be read fails the job, or with 'permissive' has no data and its column error says why.
     """
 
     @classmethod
@@ -75,7 +88,7 @@ class ByteRanges(DataSource):
         return "byte_ranges"
 
     def schema(self) -> str:
-        return "relative_path string, chunk_seq int, fdata_offset bigint, data binary, uncompressed_size bigint"
+        return "relative_path string, chunk_seq int, fdata_offset bigint, data binary, uncompressed_size bigint, error string"
 
     def reader(self, schema) -> RangeReader:
         return RangeReader(self.options)

@@ -262,3 +262,24 @@ def test_unreadable_file_raises(spark, tmp_path):
     rows = PL.maven().rows(entries.names(spark, str(tmp_path)).withColumn("file", F.lit(str(tmp_path / "gone.pom"))))
     with pytest.raises(Exception, match="gone.pom"):
         rows.collect()
+
+
+def test_permissive_reading(spark, tmp_path):
+    """A range that can't be read: it fails, or leaves out its file, whole, and says so."""
+    gone = ranges.Ranges([(str(tmp_path / "gone"), 0, 5)])
+    with pytest.raises(OSError):
+        list(ranges.RangeReader({"path": str(tmp_path)}).read(gone))
+    row = list(ranges.RangeReader({"path": str(tmp_path), "mode": "permissive"}).read(gone))
+    assert row[0][:5] == ("gone", 0, 0, None, 5) and "gone" in row[0][5]
+    files = tree(tmp_path / "in")
+    out = shared_path(spark, "archive")
+    archive.write_dir(spark, str(tmp_path / "in"), out, mode="permissive", level=1, plugins=(PL.pypi(),)).first()
+    own = archive.open(spark, out)
+    assert own.errors().count() == 0 and own.file_count() == len(files) and own.extract("nested/deep.txt") == b"deep"
+    raw = frame(spark, THREE).withColumn("error", F.when(F.col("relative_path") == "file1.txt", "bad block"))
+    encoded = codec.encode(ingest.slices(raw, 8).withColumn("compressed", F.lit(True)).drop("file_size"), 1)
+    partly = encoded.withColumn("error", F.when(F.col("chunk_seq") == 1, F.col("error")))
+    own = archive._put(partly, shared_path(spark, "archive"), {"checksum": "sha256"})
+    assert [tuple(r) for r in own.errors().collect()] == [("file1.txt", "bad block")]
+    assert {r.relative_path for r in own.blobs().collect()} == {r.relative_path for r in own.index().collect()} == {"subdir/file2.txt", "binary.bin"}
+    written(spark, THREE)[0].errors().collect() == []

@@ -53,7 +53,7 @@ def test_other_names(spark):
     assert one(spark, "numpy", lambda c: P.dist_info(c, F.lit("1.26.0"))) == "numpy-1.26.0.dist-info"
     none = F.lit(None).cast("string")
     assert one(spark, "netty-all", lambda c: P.maven_file(c, F.lit("4.1.109.Final"), F.lit("jar"), none)) == "netty-all-4.1.109.Final.jar"
-    assert one(spark, "org.apache.spark", lambda c: P.maven_url(c, F.lit("core"), F.lit("3"), none, F.lit("sources"))) == "https://repo1.maven.org/maven2/org/apache/spark/core/3/core-3-sources.jar"
+    assert one(spark, "net.quarry.tools", lambda c: P.maven_url(c, F.lit("core"), F.lit("3"), none, F.lit("sources"))) == "https://repo1.maven.org/maven2/net/quarry/tools/core/3/core-3-sources.jar"
     assert one(spark, "Name: x\nRequires-Dist: a >=1 \r\nrequires-dist: no\nRequires-Dist:b", P.requires_dist) == ["a >=1", "b"]
     assert one(spark, -1, lambda c: P.table_name(c, F.lit("_my repo!"), F.lit(None).cast("string"), F.lit(3)), "tinyint") == "idx_255_my_repo_3"
     assert one(spark, "12ab-3", P.lenient_long) == 123 and one(spark, "-x7", P.lenient_long) == -7
@@ -62,9 +62,9 @@ def test_other_names(spark):
     assert got == [True] * 4 + [False] * 3
 
 
-POM = b"""<project><groupId>com.example</groupId><artifactId>my-app</artifactId><version>2.1.0</version><packaging>war</packaging>
+POM = b"""<project><groupId>net.quarry</groupId><artifactId>stone-cutter</artifactId><version>4.7.2</version><packaging>war</packaging>
 <dependencyManagement><dependencies><dependency><groupId>m</groupId><artifactId>m</artifactId><version>1</version></dependency></dependencies></dependencyManagement>
-<dependencies><dependency><groupId>org.apache.spark</groupId><artifactId>spark-core_2.13</artifactId><version>3.5.1</version></dependency>
+<dependencies><dependency><groupId>net.quarry.tools</groupId><artifactId>chisel-core_2</artifactId><version>1.9.3</version></dependency>
 <dependency><groupId>junit</groupId><artifactId>junit</artifactId><version>4</version><scope>test</scope></dependency>
 <dependency><groupId>n</groupId><artifactId>noversion</artifactId></dependency>
 <dependency><groupId>g</groupId><artifactId>a</artifactId><version>1</version><type>zip</type><classifier>c</classifier><exclusions><exclusion><groupId>ex</groupId></exclusion></exclusions></dependency>
@@ -72,11 +72,11 @@ POM = b"""<project><groupId>com.example</groupId><artifactId>my-app</artifactId>
 
 
 def test_pom():
-    assert M.project(POM) == {"group_id": "com.example", "artifact_id": "my-app", "version": "2.1.0", "packaging": "war"}
+    assert M.project(POM) == {"group_id": "net.quarry", "artifact_id": "stone-cutter", "version": "4.7.2", "packaging": "war"}
     got = M.dependencies(POM)
-    assert [(d["group_id"], d["artifact_id"], d["packaging"], d["classifier"]) for d in got] == [("org.apache.spark", "spark-core_2.13", "jar", None), ("ex", "a", "zip", "c")]
+    assert [(d["group_id"], d["artifact_id"], d["packaging"], d["classifier"]) for d in got] == [("net.quarry.tools", "chisel-core_2", "jar", None), ("ex", "a", "zip", "c")]
     assert M.dependencies(POM, exclusions_overwrite=False)[1]["group_id"] == "g"
-    assert M.project(POM[:120])["version"] == "2.1.0" and M.project(b"<project>") is None and M.project(b"") is None
+    assert M.project(POM[:120])["version"] == "4.7.2" and M.project(b"<project>") is None and M.project(b"") is None
     assert len(M.dependencies(POM[: POM.index(b"<dependency><groupId>junit") + 10])) == 1
     assert M.project(b"<p><parent><groupId>x</groupId></parent><groupId>a &amp; b</groupId><artifactId>c</artifactId><version> 1 </version></p>")["group_id"] == "a & b"
 
@@ -103,9 +103,9 @@ def test_maven_plugin(spark):
     rows = [("x.jar", zipped({"META-INF/maven/g/a/pom.xml": POM})), ("y.jar", zipped({"META-INF/MANIFEST.MF": b""})), ("z.pom", POM), ("w.jar", b"broken"), ("n.war", None), ("q.txt", POM)]
     df = spark.createDataFrame([(p, bytearray(c) if c is not None else None) for p, c in rows], "relative_path string, content binary")
     got = {r.relative_path: (r.group_id, r.packaging, r.pkg_type) for r in PL.maven().rows(df).collect()}
-    assert got == {"x.jar": ("com.example", "war", 1), "z.pom": ("com.example", "war", 1)}
+    assert got == {"x.jar": ("net.quarry", "war", 1), "z.pom": ("net.quarry", "war", 1)}
     poms = df.where("relative_path like '%.pom'")
-    assert poms.select(M.project_of(F.col("content")).alias("p")).first().p.version == "2.1.0"
+    assert poms.select(M.project_of(F.col("content")).alias("p")).first().p.version == "4.7.2"
 
 
 def test_archives(spark):

@@ -25,6 +25,7 @@ those named are ignored.
 from __future__ import annotations
 
 import json
+import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from ..session import counted, forget, materialize
 
 TAGS = ("array", "boolean", "number", "string")
+TYPES = {type(None): "null", bool: "boolean", str: "string", int: "number", float: "number"}
 LEAF = (
     "series string, file_seq int, line_no bigint, line_id bigint, entry string, field string, tag string, "
     "string_value string, integer_value decimal(38,0), number_value double, boolean_value boolean, array_value string, value_text string"
@@ -72,6 +74,28 @@ def _walk(value: object, path: str, entry: str, objects: bool) -> Iterator[tuple
         yield path, entry, value
 
 
+def _gather(value: dict, path: str, out: list[tuple[str, object]]) -> None:
+    """(path, value) of each leaf, as _walk has them, without places in lists."""
+    for k, v in value.items():
+        own = f"{path}.{k}" if path else k
+        if type(v) is dict:
+            _gather(v, own, out)
+        elif type(v) is list and _holds_object(v):
+            _gather_list(v, own, out)
+        else:
+            out.append((own, v))
+
+
+def _gather_list(values: list, path: str, out: list[tuple[str, object]]) -> None:
+    for v in values:
+        if type(v) is dict:
+            _gather(v, path, out)
+        elif type(v) is list and _holds_object(v):
+            _gather_list(v, path, out)
+        else:
+            out.append((path, v))
+
+
 def parse_object(raw: str | None) -> dict | None:
     """The object a line holds, or None unless it is one complete JSON object."""
     try:
@@ -93,7 +117,11 @@ def tagged(v: object) -> tuple[str, str | None]:
         return "boolean", "true" if v else "false"
     if isinstance(v, str):
         return "string", _clean(v)
-    return "integer" if isinstance(v, int) else "number" if isinstance(v, float) else "array", json.dumps(v)
+    if isinstance(v, int):
+        return "integer", repr(v)
+    if isinstance(v, float):
+        return "number", repr(v) if math.isfinite(v) else json.dumps(v)
+    return "array", json.dumps(v)
 
 
 def leaf_values(raw: str | None) -> list[tuple]:
@@ -141,9 +169,10 @@ def _tally(with_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 found = parse_object(raw)
                 if found is None:
                     continue
-                for path, _, v in _walk(found, "", "", False):
-                    tag, text = tagged(v)
-                    seen[series, seq, _clean(path), "number" if tag == "integer" else tag, text if with_text else None] += 1
+                leaf: list[tuple[str, object]] = []
+                _gather(found, "", leaf)
+                for path, v in leaf:
+                    seen[series, seq, _clean(path), TYPES.get(type(v), "array"), tagged(v)[1] if with_text else None] += 1
             if seen:
                 cols = list(zip(*seen)) + [tuple(seen.values())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)

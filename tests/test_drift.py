@@ -94,6 +94,11 @@ def test_odd_values():
     assert leaf["", "a"][1] == "?" and leaf["", "b"][0] == "array" and ("0.0", "c.d") in leaf
     assert leaf["", "f"][0] == "integer" and leaf["", "f"][2] is None and leaf["0.0", "c"][0] == "object"
     assert drift.leaf_values("[" * 100_000) == [] and drift.leaf_values("1") == []
+    for raw in ('{"": {"a": 1, "": 2}, "b": [[1, {"c": null}], {"d": [1, "x"]}, 3, []], "e": {}, "f": [true]}', '{"a": 1.0, "b": 1e400, "c": -0.0, "d": 1e22}'):
+        value, out = json.loads(raw), []
+        drift._gather(value, "", out)
+        assert out == [(p, v) for p, _, v in drift._walk(value, "", "", False)]
+        assert all(drift.tagged(v)[1] == json.dumps(v) for _, v in out if v is not None and not isinstance(v, str))
 
 
 def test_empty(spark):
